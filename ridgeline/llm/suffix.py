@@ -133,8 +133,8 @@ def _islands(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, name: str = "suffix") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), removed: the maximal spans of words that another document has too.
 
-    removed is false for the first occurrence (smallest doc_id, then position) of
-    each run of words; a document can have spans of both kinds."""
+    removed is false in the first document (smallest doc_id) that has a run of
+    words; a document can have spans of both kinds."""
     docs = input_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("h3"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
     keyed = save(keyed.where(F.col("n_words") >= LEAST_WORDS), f"{name}-texts")
@@ -148,8 +148,8 @@ def repeated_spans(docs: DataFrame, name: str = "suffix") -> DataFrame:
     again = suffixes.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     positions = save(suffixes.join(again, "anchor", "left_semi").select("doc_id", "pos"), f"{name}-kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
     runs = save(_runs(single.join(positions, "doc_id").select("doc_id", "text", "positions")), f"{name}-runs")
-    shared = runs.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("run", "first")
-    both = runs.join(shared, "run").select("doc_id", F.struct("start", ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("again")).alias("at"))
+    shared = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    both = runs.join(shared, "run").select("doc_id", F.struct("start", (F.col("doc_id") != F.col("first")).alias("again")).alias("at"))
     spans = save(_islands(both.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))), f"{name}-spans")
     inside = spans.where("not removed").join(whole.select("doc_id"), "doc_id", "left_anti")
     return whole.unionByName(spans.where("removed")).unionByName(inside)
