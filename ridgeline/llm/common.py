@@ -197,9 +197,11 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     e, before = save(e, name), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # the minima are tables of their own, so that the joins with them can split a node with very many edges
+        low = save(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), name)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = save(large, name)
+        low = save(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = save(small.where("u <> v").distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
