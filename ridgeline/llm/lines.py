@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, chunks, gram_hashes, input_columns
+from .common import WORD_PATTERN, Words, chunks, gram_hashes, input_columns
 
 #: A document keeps at least this share of its words, or it is rejected.
 KEEP_SHARE = 0.5
@@ -28,18 +28,20 @@ LEAST_WORDS = 50
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_NAVIGATION = re.compile(r"^(?:[|>»«›‹•·*#$%&<=/\\~-]+)$")
-_ODD_END = re.compile(r"(?:!{2,}|[#*$%&]{2,})$")
-_BOILERPLATE = re.compile(
-    r"\b(?:licensed under|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|copyright \(?c\)?|©|"
-    r"permission is hereby granted|without warrant(?:y|ies)|javascript (?:is|must)|sign in|log in|subscribe to our)",
-    re.IGNORECASE,
+# Signs of navigation, endings and wording that mark a line; the SQL below uses the same patterns.
+NAVIGATION = r"^[|>»«›‹•·*#$%&<=/~-]+$"
+ODD_END = r"(!!+|[#*$%&][#*$%&]+)$"
+BOILERPLATE = (
+    r"(licensed under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|copyright \(?c\)?|permission is hereby granted|"
+    r"without warrant(y|ies)|javascript (is|must)|sign in to|log in to|subscribe to our)"
 )
+_WORD, _NAVIGATION, _ODD_END = re.compile(WORD_PATTERN), re.compile(NAVIGATION), re.compile(ODD_END)
+_BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
 
 
 def line_fails(line: str) -> str | None:
     """The rule that a line breaks, or None."""
-    words = line.split()
+    words = _WORD.findall(line)
     n = len(words)
     if not n:
         return None
@@ -57,9 +59,9 @@ def line_fails(line: str) -> str | None:
 def clean_text(text: str | None) -> tuple[str, int, int]:
     """The text without failing lines, its words and the words of the whole text."""
     lines = (text or "").split("\n")
-    kept = [x for x in lines if line_fails(x) is None]
-    words = sum(len(x.split()) for x in lines)
-    return "\n".join(kept), sum(len(x.split()) for x in kept), words
+    fine = [line_fails(x) is None for x in lines]
+    words = [len(_WORD.findall(x)) for x in lines]
+    return "\n".join(x for x, f in zip(lines, fine) if f), sum(n for n, f in zip(words, fine) if f), sum(words)
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -108,3 +110,33 @@ def judge_lines(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, clean_words long, clean_text string, kept boolean"
     return input_columns(docs, "doc_id", "text").mapInArrow(judge, schema)
+
+
+#: The same in DuckDB's SQL.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+lw AS (SELECT doc_id, line, pos, regexp_extract_all(line, '{WORD_PATTERN}') AS ws FROM l),
+j AS (
+  SELECT *, len(ws) AS n,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AND len(ws) > 0 AS dup,
+    (len(ws) >= 3 AND 3 * len(list_filter(ws, lambda w: regexp_matches(w, '{NAVIGATION}'))) >= len(ws))
+    OR (len(ws) <= 40 AND len(ws) > 0 AND regexp_matches(line, '{BOILERPLATE}', 'i'))
+    OR (len(ws) >= 3 AND 2 * len(list_filter(ws, lambda w: regexp_matches(w, '{ODD_END}'))) >= len(ws))
+    OR (len(ws) >= 8 AND 4 * len(list_distinct(ws)) <= len(ws)) AS fails
+  FROM lw),
+per AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_words, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE NOT fails), 0)::BIGINT AS clean_words FROM j GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '{WORD_PATTERN}')) AS word, generate_subscripts(regexp_extract_all(t, '{WORD_PATTERN}'), 1) AS i FROM d),
+g AS (SELECT doc_id, i, word, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, word, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM g),
+r AS (
+  SELECT doc_id, word, twice OR coalesce(lag(twice, 1) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS covered FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(*) FILTER (WHERE covered) AS n_repeat_words, sum(length(word))::BIGINT AS word_chars FROM r GROUP BY doc_id),
+x AS (
+  SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, clean_words
+  FROM d JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+SELECT *, NOT base_failed AND clean_words >= {KEEP_SHARE} * n_words AS kept FROM f
+"""
