@@ -2,9 +2,10 @@
 
 Whole windows of a document need nothing else and are emitted where they are
 encoded. What is left of each document, its tail, goes to a shard. A tail's
-signature are its rarest tokens, by document counts over the whole corpus; tails
+signature are its tokens that the vocabulary learnt last, its rarest; tails
 are dealt to shards in the order of signatures, so that tails with rare tokens
-in common meet. A shard holds an inverted index of its tails with BM25 weights;
+in common meet. A shard holds an inverted index of its tails with BM25 weights
+by document counts over the whole corpus;
 each seed's window is filled greedily by its unused neighbours in falling
 score, the last one is cut to fit and its rest is the next seed. Only the last
 sequence of a task is padded.
@@ -31,7 +32,7 @@ WINDOW = 1024
 #: Tokens of a shard's tails, and of a task's, about.
 SHARD_TOKENS, TASK_TOKENS = 1_000_000, 4_000_000
 #: Terms of a seed that the index is asked for: its rarest.
-QUERY_TERMS = 16
+QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 _PIECE, _TAIL, _COUNT = 0, 1, 2
 _PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -55,7 +56,10 @@ def _pieces(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
                     for at in range(x, y, window):
                         piece = ids[at : min(at + window, y)]
                         full = len(piece) == window
-                        row = (_PIECE if full else _TAIL, doc, at - x, len(piece), ids_crc32(piece) if full else None, y - x, task + done if full else None, None if full else piece.astype("<u4").tobytes())
+                        if full:
+                            row = (_PIECE, doc, at - x, window, ids_crc32(piece), y - x, task + done, None)
+                        else:  # a tail has its signature in the place of the sequence
+                            row = (_TAIL, doc, at - x, len(piece), None, y - x, _signature(piece), piece.astype("<u4").tobytes())
                         done += full
                         for column, value in zip(out, row):
                             column.append(value)
@@ -75,22 +79,11 @@ def _pieces(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
     return input_columns(docs, "doc_id", "text").mapInArrow(build, schema)
 
 
-def _signed(tails: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Adds sig: the two rarest tokens of the tail that another document has, then a hash of the document."""
-
-    def build(batches):
-        for b in batches:
-            sig = np.zeros(b.num_rows, dtype=np.int64)
-            for k, raw in enumerate(b.column(b.schema.get_field_index("ids"))):
-                t = np.unique(np.frombuffer(raw.as_buffer(), dtype="<u4"))
-                t = t[counts[t] > 1]
-                rare = t[np.argsort(counts[t], kind="stable")[:2]] if len(t) else t
-                for shift, x in zip((43, 24), rare.tolist()):
-                    sig[k] |= int(x & 0x7FFFF) << shift
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig)], names=[*b.schema.names, "sig"])
-
-    out = tails.mapInArrow(build, "doc_id long, start long, length long, doc_tokens long, ids binary, sig long")
-    return out.withColumn("sig", F.col("sig") + F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 24)))
+def _signature(tail: np.ndarray) -> int:
+    """The tail's two tokens that the vocabulary learnt last: high ids are rare ones."""
+    first = int(tail.max())
+    second = int(np.where(tail == first, 0, tail).max())
+    return first << 43 | second << 24
 
 
 class Shard:
@@ -183,8 +176,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
     for r in found:
         counts[r["doc_id"]] = r["n"]
     documents = int(counts[0]) if len(counts) else 0  # the end id is in every document
-    tails = rows.where(F.col("kind") == _TAIL).select("doc_id", "start", "length", "doc_tokens", "ids")
-    signed = save(_signed(tails, counts), "packing-tails")
+    sig = F.col("sequence_id") + F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 24))
+    signed = rows.where(F.col("kind") == _TAIL).select("doc_id", "start", "length", "doc_tokens", "ids", sig.alias("sig"))
     tasks = max(1, round((signed.agg(F.sum("length")).first()[0] or 0) / TASK_TOKENS))
     cuts = sorted(set(signed.agg(F.percentile_approx("sig", [k / tasks for k in range(1, tasks)], 100 * tasks)).first()[0] or [])) if tasks > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("sig"))) if cuts else F.lit(0)

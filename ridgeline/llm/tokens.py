@@ -1,9 +1,9 @@
 """Token ids of documents, and their ORC store.
 
-Encoding: a document is cut at single spaces, where the byte-level pattern
-always starts a new piece (the space belongs to what follows), equal pieces of
-a batch are encoded once and the ids are gathered by dictionary index. A
-document with adjacent spaces, a leading or a trailing one is encoded whole.
+Encoding: a document is cut at single spaces and line feeds, where the
+byte-level pattern always starts a new piece, equal pieces of a batch are
+encoded once and the ids are gathered by dictionary index. A document with
+adjacent, leading or trailing white space is encoded whole.
 
 Store: documents are dealt to ranges of ascending ids, each range is sorted and
 encoded in one task, and Spark's ORC writer lays the ids out as run-length coded
@@ -25,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, input_columns, scratch_dir
+from .common import chunks, input_columns, scratch_dir, text_buffers
 
 END_ID = 0
-#: Pieces a process remembers at most; only a cache, results don't depend on it.
-KNOWN_PIECES = 400_000
 VOCABULARY = "byte_bpe_50k.json"
 
+_SPACE = r"\s\v\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Texts that start or end in white space, or have a space or line feed beside more white space, are encoded whole.
+ODD = rf"^[{_SPACE}]|[{_SPACE}]\z|[{_SPACE}][ \n]|[ \n][{_SPACE}]"
+
 _coders: dict[str, "Coder"] = {}
 
 
@@ -54,61 +56,70 @@ class Coder:
             self.width[i] = len(piece)  # one character of the vocabulary stands for one byte
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
-        self.forget()
+        self.comma, self.stop = (int(self.whole([x])[0][0]) for x in ",.")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lookup(self, pieces: list[str]) -> np.ndarray:
-        """Index in the table of known pieces for each; unknown ones are encoded in one go and added.
-
-        Each piece has a space put before it. The table is emptied once it holds KNOWN_PIECES."""
-        if len(self.known) > KNOWN_PIECES:
-            self.forget()
-        fresh = [p for p in pieces if p not in self.known]
-        if fresh:
-            ids = self.whole([" " + " ".join(fresh)])[0]
-            size = np.fromiter(map(len, map(str.encode, fresh)), dtype=np.int64, count=len(fresh)) + 1
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size), side="left") + 1
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.at = np.concatenate([self.at, self.at[-1] + ends])
-            self.table = np.concatenate([self.table, ids])
-        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.table, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units in a row, and the n + 1 offsets: they are encoded as one text, and the ids' widths tell where each begins."""
+        lead = pc.if_else(pc.starts_with(units, "\n"), "", " ").cast(pa.large_string())
+        units = pc.binary_join_element_wise(lead, units, pa.scalar("", pa.large_string()))
+        data, off = text_buffers(units)
+        ids = self.whole([data.tobytes().decode()])[0]
+        return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.width[ids]), off[1:], side="left") + 1])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and the n + 1 offsets. A last comma or full stop after a letter is a unit of its own."""
+        n = len(pieces)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        closed = pc.match_substring_regex(pieces, r"\p{L}[.,]$")
+        comma = pc.ends_with(pieces, ",").to_numpy(zero_copy_only=False)
+        base = pc.if_else(closed, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        closed = closed.to_numpy(zero_copy_only=False)
+        table, at = self._unit_ids(base.dictionary)
+        unit = base.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(at)[unit]
+        total = np.concatenate([[0], np.cumsum(size + closed)])
+        ids = np.empty(total[-1], dtype=np.int32)
+        body = np.cumsum(size) - size
+        ids[np.repeat(total[:-1] - body, size) + np.arange(size.sum())] = table[np.repeat(at[unit] - body, size) + np.arange(size.sum())]
+        ids[total[1:][closed] - 1] = np.where(comma[closed], self.comma, self.stop)
+        return ids, total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, each closed by the end id, and the n + 1 offsets."""
         n = len(texts)
         texts = texts.cast(pa.large_string()).fill_null("")
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = pc.match_substring_regex(texts, ODD)
         for mark in self.marks:
             odd = pc.or_(odd, pc.match_substring(texts, mark))
         odd = odd.to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(texts, " ")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         count = np.diff(first)
         flat = parts.flatten()
-        heads = flat.take(pa.array(first[:-1]))
+        heads = flat.take(pa.array(first[:-1])).to_pylist()
         rest = np.ones(len(flat), dtype=bool)
         rest[first[:-1]] = False
         rest[np.repeat(odd, count)] = False
         coded = flat.filter(pa.array(rest)).dictionary_encode()
-        out: list[np.ndarray] = []
-        lead = self.whole([t if o else h for t, h, o in zip(texts.to_pylist() if odd.any() else heads.to_pylist(), heads.to_pylist(), odd)])
-        index = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        at, table = self.at, self.table
+        lead = self.whole([texts[k].as_py() if o else h for k, (h, o) in enumerate(zip(heads, odd))])
+        table, at = self._pieces(coded.dictionary)
+        index = coded.indices.to_numpy(zero_copy_only=False)
         lengths = np.diff(at)[index]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(at[index] - total[:-1], lengths) + np.arange(total[-1])
-        body = table[source]
-        bounds = np.concatenate([[0], np.cumsum(np.where(odd, 0, count - 1))])
+        gather = np.repeat((at[index] - total[:-1]).astype(np.int32), lengths)
+        gather += np.arange(total[-1], dtype=np.int32)
+        body = table[gather]
+        del gather, flat, parts
+        bounds = total[np.concatenate([[0], np.cumsum(np.where(odd, 0, count - 1))])]
         end = np.array([END_ID], dtype=np.int32)
+        out: list[np.ndarray] = []
         for i in range(n):
-            out += [lead[i], body[total[bounds[i]] : total[bounds[i + 1]]], end]
-        sizes = np.array([len(a) + len(b) + 1 for a, b in zip(out[0::3], out[1::3])], dtype=np.int64)
+            out += [lead[i], body[bounds[i] : bounds[i + 1]], end]
+        sizes = np.diff(bounds) + 1 + np.fromiter(map(len, lead), dtype=np.int64, count=n)
         return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -119,7 +130,7 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def encode_chunks(texts: pa.Array, path: str, most: int = 8 << 20):
+def encode_chunks(texts: pa.Array, path: str, most: int = 4 << 20):
     """(first, last, ids, offsets) for runs of documents of about `most` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
