@@ -49,10 +49,15 @@ def _pieces(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
             for i, j, ids, off in encode_chunks(b.column(1), vocabulary):
                 if seen is None:
                     seen = np.zeros(len(coder(vocabulary).width), dtype=np.int64)
+                    place, upto = np.zeros(len(seen), dtype=np.int32), np.arange(1 << 16, dtype=np.int32)
                 keys = b.column(0).slice(i, j - i).to_pylist()
                 out: list[list] = [[] for _ in range(8)]
                 for doc, x, y in zip(keys, off[:-1].tolist(), off[1:].tolist()):
-                    seen[np.unique(ids[x:y])] += 1
+                    own = ids[x:y]
+                    if len(own) > len(upto):
+                        upto = np.arange(len(own), dtype=np.int32)
+                    place[own] = upto[: len(own)]  # the last place of each id stands for it
+                    seen[own[place[own] == upto[: len(own)]]] += 1
                     for at in range(x, y, window):
                         piece = ids[at : min(at + window, y)]
                         full = len(piece) == window

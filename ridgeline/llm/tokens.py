@@ -93,8 +93,10 @@ class Coder:
         n = len(texts)
         texts = texts.cast(pa.large_string()).fill_null("")
         odd = pc.match_substring_regex(texts, ODD)
+        data = text_buffers(texts)[0].tobytes()
         for mark in self.marks:
-            odd = pc.or_(odd, pc.match_substring(texts, mark))
+            if mark.encode() in data:
+                odd = pc.or_(odd, pc.match_substring(texts, mark))
         odd = odd.to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
