@@ -18,6 +18,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text handled at once inside a task; a longer document is its own chunk.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -51,7 +53,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input can't clash."""
+    """Only the named columns, so that extra columns of the input can't clash.
+
+    Operators that go through Python begin here, so the size of Arrow batches,
+    64 MB unless the session says otherwise, is brought down to what a worker
+    beside a full JVM can hold."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 

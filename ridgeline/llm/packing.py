@@ -38,6 +38,11 @@ _PIECE, _TAIL, _COUNT = 0, 1, 2
 _PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
+def _width(vocabulary: str) -> str:
+    """The type that tails' ids are stored in."""
+    return "<u2" if len(coder(vocabulary).width) <= 1 << 16 else "<u4"
+
+
 def _pieces(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
     """Three kinds of rows: finished windows, tails with their ids, and document counts by token (doc_id, length)."""
 
@@ -64,7 +69,7 @@ def _pieces(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
                         if full:
                             row = (_PIECE, doc, at - x, window, ids_crc32(piece), y - x, task + done, None)
                         else:  # a tail has its signature in the place of the sequence
-                            row = (_TAIL, doc, at - x, len(piece), None, y - x, _signature(piece), piece.astype("<u4").tobytes())
+                            row = (_TAIL, doc, at - x, len(piece), None, y - x, _signature(piece), piece.astype(_width(vocabulary)).tobytes())
                         done += full
                         for column, value in zip(out, row):
                             column.append(value)
@@ -195,7 +200,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
 
         def flush():
             nonlocal done, fill
-            ids = [np.frombuffer(h[4], dtype="<u4").astype(np.int64) for h in held]
+            ids = [np.frombuffer(h[4], dtype=_width(vocabulary)).astype(np.int64) for h in held]
             out: list[tuple] = []
             for row in pack_shard(ids, counts, documents, window, window - fill):
                 for k, a, b in row:
