@@ -1,2 +1,5 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries and their SQL."""
+
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
