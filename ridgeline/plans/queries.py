@@ -54,8 +54,7 @@ def sql_scales(n_oct: int = N_OCT, n_voice: int = N_VOICE) -> str:
 
 def sql_cwt(name: str = "g2", preset: str = "direct", n_oct: int = N_OCT, n_voice: int = N_VOICE) -> list[str]:
     w = W.wavelet(name)
-    j = "(g.pos - g.m)" if preset == "direct" else "(g.pos + g.m)"
-    k = 2 if preset == "direct" else 1
+    order, right = ("DESC", "xs[n - s:n - 1]") if preset == "direct" else ("ASC", "xs[n - s + 1:n]")
     psi = w.sql.replace("{u}", f"(m / (a * {w.stretch!r}::DOUBLE))")
     return [
         LENGTHS,
@@ -63,10 +62,11 @@ def sql_cwt(name: str = "g2", preset: str = "direct", n_oct: int = N_OCT, n_voic
         f"hw AS (SELECT *, floor(a * ({w.half!r}::DOUBLE * {w.stretch!r}::DOUBLE))::BIGINT AS s FROM sc)",
         "tm AS (SELECT *, unnest(range(-s, s + 1)) AS m FROM hw)",
         f"tp AS (SELECT *, ({psi})::DOUBLE AS psi FROM tm)",
-        "g AS (SELECT l.series, l.n, p.pos, tp.* FROM len l JOIN sig p USING (series), tp)",
-        f"cw AS (SELECT g.series, g.si, g.a, g.pos, any_value(g.s) AS firstp, any_value(g.n) - 1 - any_value(g.s) AS lastp, any_value(g.n) AS n, "
-        f"round(sum(sig.x * g.psi) / g.a, 9) + 0.0 AS w FROM g JOIN sig ON sig.series = g.series AND sig.pos = "
-        f"CASE WHEN {j} < 0 THEN -{j} WHEN {j} >= g.n THEN 2 * g.n - {k} - {j} ELSE {j} END GROUP BY g.series, g.si, g.a, g.pos)",
+        f"tl AS (SELECT si, a, s, list(psi ORDER BY m {order}) AS taps FROM tp GROUP BY ALL)",
+        "pk AS (SELECT series, list(x ORDER BY pos) AS xs, count(*) AS n FROM sig GROUP BY series)",
+        f"wd AS (SELECT series, n, si, a, s, taps, list_concat(list_reverse(xs[2:s + 1]), xs, list_reverse({right})) AS wide FROM pk, tl)",
+        "wl AS (SELECT series, n, si, a, s, list_transform(range(n), lambda p: list_dot_product(wide[p + 1:p + 2 * s + 1], taps)) AS ws FROM wd)",
+        "cw AS MATERIALIZED (SELECT series, n, si, a, s AS firstp, n - 1 - s AS lastp, pos, round(v / a, 9) + 0.0 AS w FROM (SELECT series, n, si, a, s, unnest(range(n)) AS pos, unnest(ws) AS v FROM wl))",
     ]
 
 
@@ -276,11 +276,13 @@ def qmhat_fourier(spark, sf_dir):
 
 # --- transform -----------------------------------------------------------------------------------
 
-_W4 = "SELECT series, si, pos, round(w, 4) + 0.0 AS w FROM cw"
+#: Added before coefficients are rounded for output: values of two decimals under dyadic taps end in exact halves.
+_OFF_HALF = 0.0000123
+_W4 = f"SELECT series, si, pos, round(w + {_OFF_HALF}::DOUBLE, 4) AS w FROM cw"
 
 
 def _cwt(name, preset="direct", plan="arrow"):
-    return lambda spark, sf_dir: coefficients(spark, sf_dir, name, preset, plan).select("series", "si", "pos", (F.round("w", 4) + F.lit(0.0)).alias("w"))
+    return lambda spark, sf_dir: coefficients(spark, sf_dir, name, preset, plan).select("series", "si", "pos", F.round(F.col("w") + F.lit(_OFF_HALF), 4).alias("w"))
 
 
 for _key, _args in {
@@ -292,10 +294,11 @@ for _key, _args in {
     query(with_(EVENTS_SEQ, *sql_cwt(*_args[:2]), select=_W4))(_f)
 
 
-@query(with_(EMBEDDINGS, *sql_cwt("g2", "direct", 1, 4), select="SELECT series, si, pos, round(w, 6) + 0.0 AS w FROM cw"))
+@query(with_(EMBEDDINGS, *sql_cwt("g2", "direct", 1, 4), select=_W4))
 def cwt_embeddings(spark, sf_dir):
     sig = signals.from_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return transform.cwt(sig, A_MIN, 1, 4, "g2").select("series", "si", "pos", (F.round("w", 6) + F.lit(0.0)).alias("w"))
+    rows = steady(transform.cwt(sig, A_MIN, 1, 4, "g2"), "w")
+    return rows.select("series", "si", "pos", F.round(F.col("w") + F.lit(_OFF_HALF), 4).alias("w"))
 
 
 @query(with_(EVENTS_SEQ, LENGTHS, sql_scales(), select="SELECT series, si, floor(a * 18.0::DOUBLE)::BIGINT AS firstp, n - 1 - floor(a * 18.0::DOUBLE)::BIGINT AS lastp FROM len, sc"))
