@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks, input_columns, scratch_dir, text_buffers
 
 END_ID = 0
+#: Bytes of running text encoded in one call.
+SLICE_BYTES = 128 << 10
 VOCABULARY = "byte_bpe_50k.json"
 
 _SPACE = r"\s\v\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -62,11 +64,13 @@ class Coder:
         return [np.asarray(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct units in a row, and the n + 1 offsets: they are encoded as one text, and the ids' widths tell where each begins."""
+        """Ids of distinct units in a row, and the n + 1 offsets: they are encoded as running text, and the ids' widths tell where each begins."""
         lead = pc.if_else(pc.starts_with(units, "\n"), "", " ").cast(pa.large_string())
         units = pc.binary_join_element_wise(lead, units, pa.scalar("", pa.large_string()))
         data, off = text_buffers(units)
-        ids = self.whole([data.tobytes().decode()])[0]
+        # in slices: an encoding takes some hundred bytes for each token while it lives
+        cuts = np.unique(np.searchsorted(off, np.arange(0, len(data) + SLICE_BYTES, SLICE_BYTES)).clip(0, len(off) - 1))
+        ids = np.concatenate([self.whole([data[off[x] : off[y]].tobytes().decode()])[0] for x, y in zip(cuts, cuts[1:])])
         return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.width[ids]), off[1:], side="left") + 1])
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +193,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, parts: int, stripe_
 
     schema = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
     writer = dealt.mapInArrow(encode, schema).write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", 1000).option("orc.create.index", "true")
-    writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "zstd").orc(path)
+    writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "snappy").orc(path)
 
 
 STORE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
