@@ -17,6 +17,7 @@ table gives an empty store; extra columns are ignored."""
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -49,6 +50,7 @@ class Coder:
     """A byte-level BPE tokenizer that encodes whole Arrow batches."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; the library's own threads would spin beside them
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
