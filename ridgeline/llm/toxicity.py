@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, Words, chunks, input_columns
 
-TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
 FOLDS, HELD_OUT = 5, 0
 WINDOW, STRIDE = 24, 12
 VECTOR, HIDDEN, ATTENTION = 6, 8, 8
@@ -96,12 +96,11 @@ class Model:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return np.where(table[at] == keys, at, len(table))
 
-    def features(self, w: Words):
-        """Row of each word's vector, the rows of its grams, as compressed lists, for the distinct words."""
-        hashes, index, grams, owner = unique_words(w)
+    def features(self, hashes: np.ndarray, grams: np.ndarray, owner: np.ndarray):
+        """Rows of the distinct words' vectors, and of their known grams with their owners."""
         row = self.lookup(grams, self.grams)
         known = row < len(self.grams)
-        return self.lookup(hashes, self.words), index, row[known], owner[known]
+        return self.lookup(hashes, self.words), row[known], owner[known]
 
     def vectors(self, words: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
         x = np.zeros((len(words) + 1, 2 * VECTOR), dtype=np.float32)  # the last row pads windows
@@ -193,7 +192,8 @@ def document_logits(model: Model, texts: pa.Array) -> np.ndarray:
     out = []
     for i, j, data, off in chunks(texts):
         w = Letters(data, off)
-        words, index, grams, owner = model.features(w)
+        hashes, index, grams, owner = unique_words(w)
+        words, grams, owner = model.features(hashes, grams, owner)
         x = model.vectors(words, grams, owner)
         windows, doc = window_table(w.first, index, len(words))
         logit = np.concatenate([model.forward(x, windows[s : s + 2048]) for s in range(0, len(windows), 2048)])
@@ -203,17 +203,31 @@ def document_logits(model: Model, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _odds(keys: np.ndarray, docs: np.ndarray, label: np.ndarray, most: int):
+def corpus_words(texts: pa.Array):
+    """As unique_words, over many chunks, with the index of each document's first word."""
+    first, index, hashes, grams, owner = [np.zeros(1, np.int64)], [], [], [], []
+    base = 0
+    for _, _, data, off in chunks(texts):
+        w = Letters(data, off)
+        h, at, g, who = unique_words(w)
+        first.append(w.first[1:] + first[-1][-1])
+        index.append(at + base), hashes.append(h), grams.append(g), owner.append(who + base)
+        base += len(h)
+    distinct, origin, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    chosen = np.zeros(base, dtype=bool)
+    chosen[origin] = True
+    owner = np.concatenate(owner)
+    keep = chosen[owner]
+    return distinct, same[np.concatenate(index)], np.concatenate(grams)[keep], same[owner[keep]], np.concatenate(first)
+
+
+def _odds(keys: np.ndarray, n: np.ndarray, bad: np.ndarray, label: np.ndarray, most: int):
     """The keys of two documents at least (the most frequent ones), with smoothed log odds of their documents."""
-    pair = np.unique(np.rec.fromarrays([keys, docs]))
-    keys, docs = pair.f0, pair.f1
-    known, start, n = np.unique(keys, return_index=True, return_counts=True)
-    bad = np.add.reduceat(label[docs], start) if len(keys) else n
     some = np.flatnonzero(n >= 2)
     some = np.sort(some[np.argsort(-n[some], kind="stable")[:most]])
     n, bad = n[some], bad[some]
     odds = np.log((bad + 0.5) / label.sum()) - np.log((n - bad + 0.5) / (1 - label).sum())
-    return known[some], (np.clip(odds, -3, 6) / 3).astype(np.float32)
+    return keys[some], (np.clip(odds, -3, 6) / 3).astype(np.float32)
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
@@ -222,24 +236,25 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
     none = np.zeros(0, np.uint64)
     if not len(label) or label.min() == label.max():
         return Model(none, none, np.zeros(0, np.float32), np.zeros(0, np.float32))
-    array = pa.array(texts, pa.large_string())
-    parts = [(i, Letters(data, off)) for i, _, data, off in chunks(array, 1 << 40)]
-    w = parts[0][1]
-    doc_of = np.repeat(np.arange(len(label)), np.diff(w.first))
-    hashes, index, grams, owner = unique_words(w)
-    words, word_odds = _odds(w.hash, doc_of, label, MOST_WORDS)
-    # grams of a document are those of its distinct words
-    pair = np.unique(doc_of * np.int64(len(hashes)) + index)
+    hashes, index, grams, owner, first = corpus_words(pa.array(texts, pa.large_string()))
+    kinds, grams = np.unique(grams, return_inverse=True)
     order = np.argsort(owner, kind="stable")
-    at = np.searchsorted(owner[order], np.arange(len(hashes) + 1))
-    n = np.diff(at)[pair % len(hashes)]
-    take = np.repeat(at[pair % len(hashes)] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    known, gram_odds = _odds(grams[order][take], np.repeat(pair // len(hashes), n), label, MOST_GRAMS)
+    grams, owner = grams[order], owner[order]
+    at = np.searchsorted(owner, np.arange(len(hashes) + 1))
+    counts = [np.zeros((2, len(hashes)), np.int64), np.zeros((2, len(kinds)), np.int64)]
+    for d, y in enumerate(label):
+        own = np.unique(index[first[d] : first[d + 1]])
+        n = np.diff(at)[own]
+        take = np.repeat(at[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(own) else own
+        counts[0][y, own] += 1
+        counts[1][y, np.unique(grams[take])] += 1
+    words, word_odds = _odds(hashes, counts[0].sum(axis=0), counts[0][1], label, MOST_WORDS)
+    known, gram_odds = _odds(kinds, counts[1].sum(axis=0), counts[1][1], label, MOST_GRAMS)
     model = Model(words, known, word_odds, gram_odds, seed)
     model.empty = False
-    feats = model.features(w)
-    rows, index, gram_rows, gram_owner = feats
-    windows, doc = window_table(w.first, index, len(rows))
+    rows, gram_rows, gram_owner = model.features(hashes, kinds[grams], owner)
+    windows, doc = window_table(first, index, len(rows))
+    windows = windows.astype(np.int32)
     by_owner = np.argsort(gram_owner, kind="stable")
     gram_rows, gram_owner = gram_rows[by_owner], gram_owner[by_owner]
     gram_n = np.maximum(1, np.bincount(gram_owner, minlength=len(rows)))
