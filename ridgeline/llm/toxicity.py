@@ -23,6 +23,8 @@ ignored."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -334,17 +336,26 @@ def _calibrate(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return 1.0, float(-cut)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[list, list]:
-    """Texts and labels of at most TRAIN_ROWS rows of each label outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
+    """doc_id, text, toxic of at most TRAIN_ROWS rows of each label outside the held-out fold."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     marks = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (fold != HELD_OUT))
     picked = None
     for value in (0, 1):
         some = marks.where(F.col("toxic") == value).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(TRAIN_ROWS)
         picked = some if picked is None else picked.unionByName(some)
-    rows = input_columns(docs, "doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    return input_columns(docs, "doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+
+
+def train_model(rows: DataFrame) -> Model:
+    """Train in one task on the bounded rows of training_rows(); the driver gets the finished model alone."""
+
+    def fit(batches):
+        found = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        found.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in found], [y for _, _, y in found]))], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -367,4 +378,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labels (doc_id, toxic) and score all of docs (doc_id, text)."""
-    return score_documents(docs, train(*training_rows(docs, labels)))
+    return score_documents(docs, train_model(training_rows(docs, labels)))
