@@ -146,9 +146,12 @@ def repeated_spans(docs: DataFrame, name: str = "suffix") -> DataFrame:
     single = docs.join(later, "doc_id", "left_anti")
     suffixes = save(suffix_positions(single), f"{name}-suffixes")
     again = suffixes.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    again = save(again, f"{name}-anchors")
     positions = save(suffixes.join(again, "anchor", "left_semi").select("doc_id", "pos"), f"{name}-kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
     runs = save(_runs(single.join(positions, "doc_id").select("doc_id", "text", "positions")), f"{name}-runs")
     shared = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    # tables of their own, so that the joins can split an anchor or a run that very many documents share
+    shared = save(shared, f"{name}-shared")
     both = runs.join(shared, "run").select("doc_id", F.struct("start", (F.col("doc_id") != F.col("first")).alias("again")).alias("at"))
     spans = save(_islands(both.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))), f"{name}-spans")
     inside = spans.where("not removed").join(whole.select("doc_id"), "doc_id", "left_anti")
