@@ -3,18 +3,17 @@
 Every document becomes its set of distinct word shingles. Equal sets form one
 class. A class has TREES sorted orders of its signature; in each, classes that
 share a prefix of LEAST_DEPTH values are neighbours of one region. Regions that
-overlap grow into families. A family larger than MOST_FAMILY is taken apart
-again with a longer common prefix, and so on up to FULL_DEPTH values: the depth
-adapts to how dense that part of the forest is. What is still too large has
-almost equal signatures throughout; it is cut into runs along its signature
-order, and neighbouring runs share their members at the border.
+overlap grow into families. Up to MOST_FAMILY classes, all pairs of a family are
+compared. In a larger one all pairs of each region are, or those of the whole
+family where that reads fewer rows: whatever the size, no pair of neighbours is
+left out, and a dense region costs the square of its size.
 
-Inside a family all links are confirmed on full sets, in pairs of blocks of
-BLOCK classes. A pair of blocks emits a spanning forest of its links, never all
-pairs, so the links' components are exactly those of the confirmed links.
+Links are confirmed on full sets, in pairs of blocks of BLOCK classes. A pair of
+blocks emits a spanning forest of its links, never all pairs, so the links'
+components are exactly those of the confirmed links.
 
 A pair at similarity 0.85 shares no region with probability
-(1 - 0.85**LEAST_DEPTH)**TREES, below 1e-5 here.
+(1 - 0.85**LEAST_DEPTH)**TREES, below 1e-5 here, in a family of any size.
 
 Defined results: null or empty text has an empty set, is linked with nothing
 and is kept; fewer words than a shingle make one shingle of all words;
@@ -26,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_groups, chunks, components, gram_hashes, input_columns, mix, save
@@ -34,7 +33,6 @@ from .common import Words, arrow_groups, chunks, components, gram_hashes, input_
 SHINGLE_WORDS = 5
 TREES = 16
 LEAST_DEPTH = 4
-FULL_DEPTH = 16
 SIGNATURE = TREES * LEAST_DEPTH
 MOST_FAMILY = 8192
 BLOCK = 256
@@ -81,10 +79,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return input_columns(docs, "doc_id", "text").mapInArrow(build, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
-def _regions(classes: DataFrame, depth: int, extra: list[str] = []) -> DataFrame:
-    """One row per class and tree: the region, a hash of the tree's first `depth` values."""
-    ring = F.concat("sig", "sig")
-    keys = [F.xxhash64(F.lit(t), *extra, F.substring(ring, 4 * LEAST_DEPTH * t + 1, 4 * depth)) for t in range(TREES)]
+def _regions(classes: DataFrame) -> DataFrame:
+    """One row per class and tree: the region, a hash of the tree's first LEAST_DEPTH values."""
+    keys = [F.xxhash64(F.lit(t), F.substring("sig", 4 * LEAST_DEPTH * t + 1, 4 * LEAST_DEPTH)) for t in range(TREES)]
     return classes.select("node", F.explode(F.array(*keys)).alias("region"))
 
 
@@ -95,30 +92,24 @@ def _stars(regions: DataFrame) -> DataFrame:
 
 
 def _families(classes: DataFrame, name: str) -> DataFrame:
-    """(node, family, size) of the classes in families of two or more, no family above MOST_FAMILY but in runs."""
-    done, depth, open_ = None, LEAST_DEPTH, classes.withColumn("within", F.lit(0).cast("long"))
-    while True:
-        roots = components(_stars(_regions(open_, depth, ["within"])), f"{name}-regions")
-        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        found = save(roots.join(sizes, "root").select("node", F.xxhash64(F.lit(depth), "root").alias("family"), "size"), f"{name}-families")
-        small = found.where(F.col("size") <= MOST_FAMILY)
-        done = small if done is None else done.unionByName(small)
-        large = found.where(F.col("size") > MOST_FAMILY)
-        if large.isEmpty():
-            return done
-        if depth >= FULL_DEPTH:
-            break
-        open_ = save(large.join(classes, "node").select("node", "sig", F.col("family").alias("within")), f"{name}-open")
-        depth = min(FULL_DEPTH, depth + 4)
-    # runs along the signature order: the global rank comes from a range partitioning and its counts
-    dealt = save(large.join(classes, "node").repartitionByRange("family", "sig", "node").sortWithinPartitions("family", "sig", "node").select("family", "node", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")), f"{name}-runs")
-    first = dealt.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("i0"))
-    base = first.select("p", "i0", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = dealt.join(F.broadcast(base), "p").withColumn("rank", F.col("base") + F.col("i") - F.col("i0"))
-    half = MOST_FAMILY // 2
-    run = F.explode(F.array(F.floor(F.col("rank") / half), F.floor(F.col("rank") / half) + 1))
-    runs = rank.select("node", "family", run.alias("run")).select("node", F.xxhash64("family", "run").alias("family"), F.lit(MOST_FAMILY).cast("long").alias("size"))
-    return done.unionByName(runs)
+    """(node, groups) of the classes with a neighbour; groups are the (family, size) whose members are all compared with each other."""
+    roots = components(_stars(_regions(classes)), f"{name}-regions")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    found = save(roots.join(sizes, "root").select("node", F.col("root").alias("family"), "size"), f"{name}-families")
+    itself = F.array(F.struct("family", "size")).alias("groups")
+    done, large = found.where(F.col("size") <= MOST_FAMILY).select("node", itself), found.where(F.col("size") > MOST_FAMILY)
+    if large.isEmpty():
+        return done
+    # rows that the pairs of blocks take: by regions, or for the family as a whole
+    regions = save(_regions(large.join(classes, "node").select("node", "sig")), f"{name}-large")
+    held = regions.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("node")).where("size > 1")
+    rows = F.col("size") * F.ceil(F.col("size") / BLOCK)
+    cost = held.join(found.select("node", "family"), "node").groupBy("family").agg(F.sum(rows).alias("rows"))
+    apart = save(large.groupBy("family", "size").agg(F.count("*")).join(cost, "family").where(F.col("rows") < rows).select("family"), f"{name}-apart")
+    whole = large.join(apart, "family", "left_anti").select("node", itself)
+    pieces = regions.join(large.join(apart, "family").select("node"), "node").join(held.select("region", "size"), "region")
+    pieces = pieces.groupBy("node").agg(F.collect_list(F.struct(F.col("region").alias("family"), "size")).alias("groups"))
+    return done.unionByName(whole).unionByName(pieces)
 
 
 def _forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -170,7 +161,7 @@ def _forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: in
 
 
 def _links(families: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Confirmed links (u, v) between classes of one family."""
+    """Confirmed links (u, v) between classes of one group."""
     members = families.join(classes.select("node", "k1", "k2"), "node")
     texts = input_columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "node")
     rows = members.join(texts, "node")
@@ -182,9 +173,10 @@ def _links(families: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
             for s, k1, k2 in zip(shingle_sets(c["text"]), c["k1"].to_pylist(), c["k2"].to_pylist()):
                 same.append(_set_key(s) == (k1, k2))
                 grams.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([c["node"], c["family"], c["size"], pa.array(grams, pa.binary())], names=["node", "family", "size", "grams"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([c["node"], c["groups"], pa.array(grams, pa.binary())], names=["node", "groups", "grams"]).filter(pa.array(same))
 
-    rows = rows.mapInArrow(sets, "node long, family long, size long, grams binary")
+    rows = rows.select("node", "groups", "k1", "k2", "text").mapInArrow(sets, "node long, groups array<struct<family:long,size:long>>, grams binary")
+    rows = rows.withColumn("group", F.explode("groups")).select("node", "group.family", "group.size", "grams")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -86,6 +86,21 @@ def test_op1_large_families_go_deeper(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("spread", [30, 150])
+def test_op1_large_families_lose_no_link(spark, monkeypatch, spread):
+    # a chain of texts in which only neighbours are linked; one family, far above the bound
+    monkeypatch.setattr(minhash, "MOST_FAMILY", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    text, r, rows = words(150, 11), random.Random(11), []
+    for i in range(80):
+        text = list(text)
+        for at in r.sample(range(spread), 2):
+            text[at] = f"y{r.random()}"
+        rows.append((i, " ".join(text)))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute.near_duplicates(rows).items()} and len(set(got.values())) == 1
+
+
 def test_op1_edges(spark):
     rows = minhash.near_duplicates(odd_docs(spark)).collect()
     got = {r.doc_id: r for r in rows}
