@@ -7,7 +7,8 @@ are dealt to shards in the order of signatures, so that tails with rare tokens
 in common meet. A shard holds an inverted index of its tails with BM25 weights
 by document counts over the whole corpus;
 each seed's window is filled greedily by its unused neighbours in falling
-score, the last one is cut to fit and its rest is the next seed. Only the last
+score over all its terms, and a tail that none leads to is a seed again; the
+last one is cut to fit and its rest is the next seed. Only the last
 sequence of a task is padded.
 
 The index is sharded: neighbours come from the seed's own shard. Document counts
@@ -31,8 +32,6 @@ from .tokens import coder, encode_chunks, ids_crc32
 WINDOW = 1024
 #: Tokens of a shard's tails, and of a task's, about.
 SHARD_TOKENS, TASK_TOKENS = 1_000_000, 4_000_000
-#: Terms of a seed that the index is asked for: its rarest.
-QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 _PIECE, _TAIL, _COUNT = 0, 1, 2
 _PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -116,26 +115,26 @@ class Shard:
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.owner])
         self.at = np.searchsorted(term, np.arange(len(counts) + 1))
-        self.score = np.zeros(n)
+        # terms of a quarter of the tails or more are rows of a matrix, at most four times as large as the postings
+        held = np.diff(self.at)
+        common = np.flatnonzero((held > 0) & (4 * held >= n))
+        self.row = np.full(len(counts), -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n))
+        for i, x in enumerate(common.tolist()):
+            self.matrix[i, self.owner[self.at[x] : self.at[x + 1]]] = self.weight[self.at[x] : self.at[x + 1]]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused tails that share a term with the seed, best first; ties by position."""
         t = self.terms[seed]
-        t = t[self.at[t + 1] - self.at[t] > 1]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-self.idf[t], QUERY_TERMS)[:QUERY_TERMS]]
-        touched = []
-        for x in t.tolist():
-            who = self.owner[self.at[x] : self.at[x + 1]]
-            self.score[who] += self.weight[self.at[x] : self.at[x + 1]]
-            touched.append(who)
-        if not touched:
-            return np.zeros(0, dtype=np.int64)
-        who = np.unique(np.concatenate(touched))
-        score = self.score[who]
-        self.score[who] = 0
-        free = unused[who]
-        return who[free][np.argsort(-score[free], kind="stable")]
+        row = self.row[t]
+        has = np.zeros(len(self.matrix))
+        has[row[row >= 0]] = 1
+        score = has @ self.matrix
+        for x in t[row < 0].tolist():
+            score[self.owner[self.at[x] : self.at[x + 1]]] += self.weight[self.at[x] : self.at[x + 1]]
+        who = np.flatnonzero(unused & (score > 0))
+        return who[np.argsort(-score[who], kind="stable")]
 
 
 def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window: int = WINDOW, room: int | None = None):
@@ -147,8 +146,8 @@ def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window
     while True:
         row: list[tuple[int, int, int]] = []
         queue: list[int] = []
-        asked = False
         while room:
+            seed = not queue
             if rest:
                 k, a = rest
                 rest = None
@@ -158,6 +157,7 @@ def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window
                 if queue:
                     k = queue.pop()
                 else:
+                    seed = True
                     while cursor < len(ids) and not unused[cursor]:
                         cursor += 1
                     if cursor == len(ids):
@@ -169,8 +169,8 @@ def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window
             room -= b - a
             if b < len(ids[k]):
                 rest = (k, b)
-            if room and not asked:
-                queue, asked = shard.neighbours(k, unused)[::-1].tolist(), True
+            if room and seed:
+                queue = shard.neighbours(k, unused)[::-1].tolist()
         if row:
             yield row
         if room:

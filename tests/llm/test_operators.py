@@ -269,6 +269,18 @@ def test_op9_neighbours_share_terms():
     assert [{k for k, _, _ in r} for r in rows] == [{0, 2}, {1, 3}]
 
 
+def test_op9_scores_all_terms_and_asks_for_each_seed():
+    counts = np.full(3000, 6)
+    counts[:8] = 4  # the rarest terms of the seed lead to one tail, all of them to another
+    seed, few, many, other = np.arange(100), np.r_[0:8, 2000:2092], np.r_[8:100, 2100:2108], np.arange(2200, 2300)
+    shard = packing.Shard([seed, few, many, other], counts, 1000)
+    assert shard.neighbours(0, np.array([False, True, True, True])).tolist() == [2, 1]
+    # a seed without neighbours is followed by one whose neighbour comes last
+    alone, a, b = np.arange(100), np.arange(200, 300), np.arange(400, 500)
+    rows = list(packing.pack_shard([alone, a, b, a], counts, 1000, 300))
+    assert [[k for k, _, _ in r] for r in rows] == [[0, 1, 3], [2]]
+
+
 def test_op10(spark):
     rows = queries.op10_budget_mix(spark, DATA).collect()
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()}
