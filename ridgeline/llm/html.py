@@ -4,8 +4,9 @@ A page is read as a stream of tags and text (no tree is built). Text falls into
 blocks, one per stretch between block-level tags, and each block has the path of
 block-level tags from the root. Per path the page's text length, punctuation and
 link text are added up; a path's ratio is smoothed with those of its parents; the
-fused score picks the container that holds most of the content, and blocks below
-it, or on other paths of similar score, are the main text. Menus, headers,
+fused score picks the container that holds most of the content and other paths of
+similar score. All blocks below the lowest container that holds them, or below the
+article or main element around it, are the main text. Menus, headers,
 footers, asides, forms, scripts and the like, and elements whose class, id or role
 name such a part, are left out before.
 
@@ -149,6 +150,15 @@ def blocks(page: str):
         yield where, "".join(text), linked
 
 
+def _container(path: tuple) -> tuple:
+    """The path up to its innermost article or main, else its innermost container: a leaf such as p belongs with its siblings."""
+    for kinds in (("article", "main"), ("body", "html", "td", "div", "section")):
+        for n in range(len(path), 0, -1):
+            if path[n - 1].startswith(kinds):
+                return path[:n]
+    return ()
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds."""
     found = []
@@ -172,9 +182,6 @@ def main_text(page: str | None) -> str:
             sums[1] += count[path]
     everything = whole[()][0]
     inner = max((p for p, (s, _) in whole.items() if s >= HOLDS * everything), key=len)
-    if inner and inner[-1] not in ("body", "html", "td") and not inner[-1].startswith(("div", "section", "article", "main")):
-        inner = inner[:-1]  # a leaf such as p: its siblings belong to it
-
     def score(path: tuple) -> float:
         """The path's ratio, smoothed with that of its parent."""
         own = length[path] / count[path]
@@ -182,8 +189,11 @@ def main_text(page: str | None) -> str:
         return 0.5 * own + 0.5 * up[0] / up[1]
 
     best = max(score(p) for p in length)
-    chosen = {p for p in length if p[: len(inner)] == inner or score(p) >= SIMILAR * best and length[p] > 0}
-    return "\n".join(text for path, text, linked in found if path in chosen and (linked * 2 < len(text) or len(text) < 2 or path[: len(inner)] == inner))
+    passing = [p for p in length if p[: len(inner)] == inner or score(p) >= SIMILAR * best and length[p] > 0]
+    low, high = min(passing), max(passing)
+    shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    holder = _container(low[:shared])
+    return "\n".join(text for path, text, _ in found if path[: len(holder)] == holder)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

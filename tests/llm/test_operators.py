@@ -155,6 +155,22 @@ def test_op5_pages():
     assert html.main_text("plain text") == "plain text"
 
 
+def test_op5_article_in_several_containers():
+    long = "A sentence of the article goes on, and on. " * 8
+    first, second = [f"{i} {long}".strip() for i in range(6)], [f"{i} {long}".strip() for i in range(6, 9)]
+    points = [f"Point {i}" for i in range(4)]
+    text = ["The title", *first, "A heading", *points, *second]
+    p = lambda rows: "".join(f"<p>{x}</p>" for x in rows)
+    rest = f"<h2>A heading</h2><ul>{''.join(f'<li>{x}</li>' for x in points)}</ul>{p(second)}"
+    nav, foot = "<nav><a href=x>Menu</a></nav><div class=sidebar><p>Aside</p></div>", "<footer>Foot</footer>"
+    for kind in ("section", "div"):
+        for around in ("article", "main", "div"):
+            page = f"<body>{nav}<{around}><h1>The title</h1><{kind}>{p(first)}</{kind}><{kind}>{rest}</{kind}></{around}>{foot}"
+            assert html.main_text(page).split("\n") == text
+    page = f"<body>{nav}<article><h1>The title</h1><div>{p(first)}{rest}</div></article>{foot}"
+    assert html.main_text(page).split("\n") == text
+
+
 def test_op5_table(spark):
     rows = html.extract_text(spark.read.parquet(f"{DATA}/pages.parquet")).collect()
     assert len(rows) == 250 and all(r.n_chars == len(r.text) and r.text and "©" not in r.text for r in rows)
