@@ -1,15 +1,12 @@
-"""Passages that repeat across documents, by a sparse suffix array over words.
-
-Suffixes are kept only at minimiser positions: of each SPAN consecutive anchors
-(hashes of ANCHOR words) the smallest marks its position, so the choice depends
-on content alone and any passage of LEAST_WORDS words that occurs twice has a
-kept suffix at the same place in both occurrences. Kept suffixes are sorted by
-their anchor; a suffix whose neighbour in that order has another anchor shares
-less than ANCHOR words with every other one and goes. The rest are extended to
-the left and to the right: every run of LEAST_WORDS words that holds the anchor
-is compared, and runs that are equal to one of another document are joined to
-maximal spans. That comparison is on all runs around the anchor, so a match
-that needs words on both sides is found whichever neighbour it has.
+"""Passages that repeat across documents, by fingerprints at minimiser positions.
+
+No suffix is sorted: of each SPAN consecutive anchors (hashes of ANCHOR words)
+the smallest marks its position, so the choice depends on content alone and any
+passage of LEAST_WORDS words that occurs twice is marked at the same place in
+both occurrences. Positions are grouped by their anchor; one that a single
+document has goes. Around the rest, every run of LEAST_WORDS words that holds
+the anchor is hashed, runs are grouped by their hash, and those that another
+document has too are joined to maximal spans.
 
 Equal texts are taken together first: all but the first copy are spans from
 their first word to the last one.
