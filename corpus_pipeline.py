@@ -7,15 +7,21 @@ documents. Part of the subpackage ridgeline.llm, deleted along with it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridgeline.llm import common, minhash, mixing, packing, suffix, tokens, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5; the model learns from the labels outside the held-out fold."""
-    scores = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = scores.where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    model = toxicity.train_model(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    named = docs.where("doc_id is not null")
+    gone = toxicity.score_documents(named, model).where("predicted = 1").select("doc_id").distinct()
+    # rows without an id are judged by a key of their own
+    nameless = common.save(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "pipeline-nameless")
+    bad = toxicity.score_documents(nameless.select(F.col("__row").alias("doc_id"), "text"), model).where("predicted = 1").select(F.col("doc_id").alias("__row"))
+    kept = nameless.join(bad, "__row", "left_anti").select(*docs.columns)
+    return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(kept)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ are taken below the bucket that holds the cut, and only that one is ranked.
 
 Defined results: null text has size 0; documents of size 0 take 0 words; a
 source (null is a source of its own) with size 0 has target 0; an empty table
-gives no rows; repeated rows count each; extra columns are ignored."""
+gives no rows; repeated rows count each; rows without doc_id are mixed like
+others; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -122,10 +123,11 @@ def _plan_source(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": rows["source"], "size": rows["size"], "source_size": rows["source_size"], "target": rows["target"], "whole": whole, "extra": extra})
 
 
-def mix_sources(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every document of docs (doc_id, text, source)."""
-    rows = input_columns(docs, "doc_id", "source", "text")
-    rows = save(rows.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("lot")), "mix-sizes")
+def mix_sources(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, seed: int = 7, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, and the key `row` of rows without doc_id if given, for every document of docs (doc_id, text, source)."""
+    keys = ["doc_id", row] if row else ["doc_id"]
+    rows = input_columns(docs, *keys, "source", "text")
+    rows = save(rows.select(*keys, "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), F.coalesce(*keys)).alias("lot")), "mix-sizes")
     counts = save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(per_source, tuple(weights), share)
@@ -137,21 +139,25 @@ def mix_sources(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), sha
     # place each document in a bucket of its group; the buckets' counts tell where the cut falls
     r, p = rows.alias("r"), plan.alias("p")
     joined = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size")))
-    placed = joined.select("r.doc_id", "r.source", "r.size", "r.lot", "source_size", "target", "whole", "extra", "n", F.pmod("r.lot", "buckets").alias("bucket"))
+    placed = joined.select(*[f"r.{k}" for k in keys], "r.source", "r.size", "r.lot", "source_size", "target", "whole", "extra", "n", F.pmod("r.lot", "buckets").alias("bucket"))
     partly = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     copies_all = F.col("whole") + F.when(F.col("extra") >= F.col("n"), F.when(F.col("n") > 0, 1).otherwise(0)).otherwise(0)
-    settled = placed.where(~partly).select("doc_id", "source", "size", "source_size", "target", copies_all.cast("int").alias("copies"))
+    settled = placed.where(~partly).select(*keys, "source", "size", "source_size", "target", copies_all.cast("int").alias("copies"))
     placed = placed.where(partly)
     per_bucket = placed.groupBy("source", "size", "bucket").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
     order = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = per_bucket.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), (F.col("extra") - F.coalesce(F.sum("m").over(order), F.lit(0))).alias("room"), "m")
     got = placed.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
-    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("lot", "doc_id")))
-    fitted = ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("rank") <= F.col("room")).cast("int")).cast("int").alias("copies"))
+    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("lot", *keys)))
+    fitted = ranked.select(*keys, "source", "size", "source_size", "target", (F.col("whole") + (F.col("rank") <= F.col("room")).cast("int")).cast("int").alias("copies"))
     return settled.unionByName(fitted)
 
 
 def mixed_documents(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, seed: int = 7) -> DataFrame:
     """The documents of the mix themselves, each as many times as the mix takes it."""
-    plan = mix_sources(docs, weights, share, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return docs.join(plan, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    nameless = save(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "mix-nameless")
+    keyed = docs.where("doc_id is not null").withColumn("__row", F.lit(None).cast("long")).unionByName(nameless)
+    plan = mix_sources(keyed, weights, share, seed, "__row").where("copies > 0").groupBy("doc_id", "__row").agg(F.max("copies").alias("__copies"))
+    named = docs.join(plan.drop("__row"), "doc_id")
+    mixed = named.unionByName(nameless.join(plan.drop("doc_id"), "__row").drop("__row"))
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

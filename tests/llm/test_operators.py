@@ -329,6 +329,18 @@ def test_op10_targets_and_fit(spark):
     assert len(plan) == 14 and mixing.mix_sources(empty_docs(spark)).count() == 0
 
 
+def test_pipeline_rows_without_id(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in ((1, "good one"), (2, "bad two"), (None, "good three x"), (None, "bad four"), (None, "good five"))], DOCS)
+    mixed = [r.text for r in mixing.mixed_documents(docs).collect()]
+    assert sorted(mixed) == sorted(r.text for r in docs.collect())
+    monkeypatch.setattr(toxicity, "train_model", lambda rows: None)
+    monkeypatch.setattr(toxicity, "score_documents", lambda d, model: d.select("doc_id", F.col("text").startswith("bad").cast("int").alias("predicted")))
+    left = [r.text for r in corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001").collect()]
+    assert sorted(left) == ["good five", "good one", "good three x"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
