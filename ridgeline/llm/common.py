@@ -27,6 +27,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LANE_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -36,22 +37,43 @@ _powers: dict[str, np.ndarray] = {}
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all machines share.
 
-    Where that setting is absent (tests), a temporary folder stands in."""
+    Where that setting is absent a local session (tests, benchmarks) gets a
+    temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ridgeline-{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a shared scratch table and read it back: cuts the lineage, survives lost executors."""
+def save(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write df to a shared scratch table and read it back: cuts the lineage, survives lost executors.
+
+    The table's path is added to `paths`, for discard()."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    paths.clear()
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row, key): each row of docs as one struct, so that its columns' names can't clash, and a number of its own, both saved."""
+    return save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), name)
+
+
 def input_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash.
 
@@ -135,11 +157,18 @@ class Words:
         self.hash = self._hashes() if hashed else None
 
     def _hashes(self) -> np.ndarray:
-        n = len(self.data)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power("up", n)[:n], out=prefix[1:])
-        h = (prefix[self.end] - prefix[self.start]) * _power("down", n)[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(48)))
+        """The sum of each word's lanes of eight bytes, mixed with their places, mixed with the length: no sum over bytes, which regular words could level out."""
+        size = self.end - self.start
+        lanes = (size + 7) >> 3
+        first = np.cumsum(lanes) - lanes
+        owner = np.repeat(np.arange(len(size)), lanes)
+        nth = np.arange(len(owner)) - first[owner]
+        at = self.start[owner] + 8 * nth
+        view = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        lane = view[at] & _LANE_BYTES[np.minimum(self.end[owner] - at, 8)]
+        lane = mix(lane + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+        total = np.add.reduceat(lane, first) if len(first) else np.zeros(0, np.uint64)
+        return mix(total ^ (size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -202,18 +231,21 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star (Kiveris et al. 2014) until the edges
     are stars; each round is a few aggregations and joins and is written to the
     shared scratch folder. Only a count and a checksum reach the driver."""
+    spark, old, own = edges.sparkSession, [], []
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = save(e, name), None
+    e, before = save(e, name, old), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are tables of their own, so that the joins with them can split a node with very many edges
-        low = save(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), name)
+        low = save(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), name, old)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = save(large, name)
-        low = save(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        large = save(large, name, old)
+        low = save(large.groupBy("u").agg(F.min("v").alias("m")), name, old)
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = save(small.where("u <> v").distinct(), name)
+        e = save(small.where("u <> v").distinct(), name, own)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(spark, old)
+        old, own = own, []
         if now == before:
             break
         before = now

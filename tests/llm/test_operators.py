@@ -66,31 +66,12 @@ def test_op1_equals_brute_force(spark, docs):
     assert got == brute.near_duplicates(docs)
 
 
-def test_op1_large_families_go_deeper(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "MOST_FAMILY", 8)
-    monkeypatch.setattr(minhash, "BLOCK", 4)
-    base, r = words(150, 7), random.Random(7)
-    texts = []
-    for _ in range(60):
-        t = list(base)
-        for _ in range(r.randrange(3)):
-            t[r.randrange(150)] = f"x{r.random()}"
-        texts.append(" ".join(t))
-    rows = list(enumerate(texts))
-    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # with a bound this far below the family links may be missed, but none is made up
-    want = {i: c for i, (_, c) in brute.near_duplicates(rows).items()}
-    assert len(got) == 60 and all(want[i] == want[c] for i, c in got.items()) and len(set(got.values())) < 30
-    monkeypatch.setattr(minhash, "MOST_FAMILY", 64)
-    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
-
-
 @pytest.mark.parametrize("spread", [30, 150])
-def test_op1_large_families_lose_no_link(spark, monkeypatch, spread):
-    # a chain of texts in which only neighbours are linked; one family, far above the bound
-    monkeypatch.setattr(minhash, "MOST_FAMILY", 8)
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+@pytest.mark.parametrize("block", [(1 << 19, 2048), (1200, 8)])
+def test_op1_open_regions_lose_no_link(spark, monkeypatch, spread, block):
+    # a chain of texts in which only neighbours are linked, in one block and in many
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block[0])
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block[1])
     text, r, rows = words(150, 11), random.Random(11), []
     for i in range(80):
         text = list(text)
@@ -101,11 +82,47 @@ def test_op1_large_families_lose_no_link(spark, monkeypatch, spread):
     assert got == {i: c for i, (_, c) in brute.near_duplicates(rows).items()} and len(set(got.values())) == 1
 
 
+def test_op1_family_of_20000_around_one_text(spark):
+    # each is linked with the first text alone, none of those with four changes with any other
+    base, r = words(150, 7), random.Random(7)
+
+    def changed(n):
+        t = list(base)
+        for at in r.sample(range(5, 145, 5), n):
+            t[at] = f"x{r.random()}"
+        return " ".join(t)
+
+    rows = [(0, " ".join(base)), *((i, changed(2)) for i in range(1, 20_000)), *((i, changed(4)) for i in range(20_000, 20_040))]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(got[i] == 0 for i in range(20_000)) and all(got[i] == i for i in range(20_000, 20_040))
+
+
+def test_op1_regular_words_do_not_collide(spark):
+    # a Thue-Morse word and its complement level out any polynomial modulo a power of two
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    w = common.Words(*common.text_buffers(pa.array([one, other])))
+    assert w.hash[0] != w.hash[1]
+    rows = [(1, " ".join([one] * 9)), (2, " ".join([other] * 9))]
+    assert {x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
+
+
+def test_op1_repeated_ids(spark):
+    a, b = words(100, 1), words(100, 2)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b[:-1])), (3, " ".join(a)), (None, " ".join(b)), (None, "zz yy"), (None, "zz yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True)]))
+    # columns of the operator's own names are left as they are; one row of each group stays
+    kept = minhash.keep_one_each(df.withColumn("key", F.lit(1)).withColumn("root", F.lit("r"))).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str(x) for x in [rows[0], rows[1], rows[5]]) and {(r.key, r.root) for r in kept} == {(1, "r")}
+
+
 def test_op1_edges(spark):
     rows = minhash.near_duplicates(odd_docs(spark)).collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == 14 and [got[i].n_shingles for i in (0, 1, 2, 3, 4)] == [0, 0, 0, 1, 1]
-    assert {got[i].component_id for i in (5, 6, 7, 8)} == {5} and got[None].component_id is None and got[None].kept
+    assert {got[i].component_id for i in (5, 6, 7, 8)} == {5} and got[None].component_id is None and got[None].kept  # nothing like it has an id
     assert minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
