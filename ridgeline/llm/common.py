@@ -225,15 +225,43 @@ def arrow_groups(batches, keys: list[str]):
 # --- connected components ------------------------------------------------------
 
 
+#: Edges that one task may settle; more are settled by rounds over the whole table.
+FEW_EDGES = 500_000
+
+
+def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node reachable from each) of edges u, v: hooking to smaller labels and halving paths until nothing changes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label[label], label):
+            label = label[label]
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over edges (u, v), for each node on an edge.
 
     Alternates large-star and small-star (Kiveris et al. 2014) until the edges
     are stars; each round is a few aggregations and joins and is written to the
-    shared scratch folder. Only a count and a checksum reach the driver."""
+    shared scratch folder. At most FEW_EDGES edges are settled in one task
+    instead. Only a count and a checksum reach the driver."""
     spark, old, own = edges.sparkSession, [], []
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = save(e, name, old), None
+    if e.count() <= FEW_EDGES:
+
+        def settle(batches):
+            held = [b for b in batches if b.num_rows]
+            if held:
+                t = pa.Table.from_batches(held)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in roots_of(t.column(0).to_numpy(), t.column(1).to_numpy())], names=["node", "root"])
+
+        return e.repartition(1).mapInArrow(settle, "node long, root long")
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are tables of their own, so that the joins with them can split a node with very many edges

@@ -49,7 +49,9 @@ def test_word_boundaries():
     assert got == [brute.WORD.findall(t or "") for t in texts]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1080)]
     parent = {}
