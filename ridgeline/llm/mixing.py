@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, input_columns, save
+from .common import WORD_PATTERN, input_columns, numbered, save
 
 #: A source takes at most this many copies of a document.
 MOST_REPEATS = 3
@@ -124,10 +124,10 @@ def _plan_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, seed: int = 7, row: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, and the key `row` of rows without doc_id if given, for every document of docs (doc_id, text, source)."""
+    """doc_id, source, size, source_size, target, copies, and the column `row` if given, for every row of docs (doc_id, text, source)."""
     keys = ["doc_id", row] if row else ["doc_id"]
     rows = input_columns(docs, *keys, "source", "text")
-    rows = save(rows.select(*keys, "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), F.coalesce(*keys)).alias("lot")), "mix-sizes")
+    rows = save(rows.select(*keys, "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), *keys).alias("lot")), "mix-sizes")
     counts = save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(per_source, tuple(weights), share)
@@ -154,10 +154,7 @@ def mix_sources(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), sha
 
 
 def mixed_documents(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, seed: int = 7) -> DataFrame:
-    """The documents of the mix themselves, each as many times as the mix takes it."""
-    nameless = save(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "mix-nameless")
-    keyed = docs.where("doc_id is not null").withColumn("__row", F.lit(None).cast("long")).unionByName(nameless)
-    plan = mix_sources(keyed, weights, share, seed, "__row").where("copies > 0").groupBy("doc_id", "__row").agg(F.max("copies").alias("__copies"))
-    named = docs.join(plan.drop("__row"), "doc_id")
-    mixed = named.unionByName(nameless.join(plan.drop("doc_id"), "__row").drop("__row"))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of the mix themselves, each as many times as the mix takes it."""
+    keyed = numbered(docs, "mix-rows")
+    plan = mix_sources(keyed.select("row.doc_id", "row.source", "row.text", "key"), weights, share, seed, "key").where("copies > 0").select("key", "copies")
+    return keyed.join(plan, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

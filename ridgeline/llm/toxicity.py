@@ -355,7 +355,15 @@ def train_model(rows: DataFrame) -> Model:
         found.sort()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in found], [y for _, _, y in found]))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    found = rows.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], [])  # a plan known to be empty has no task
+
+
+def document_scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """The score of each text."""
+    z = [document_logits(model, texts.slice(s, 2000)) for s in range(0, len(texts), 2000)]
+    z = np.concatenate(z) if z else np.zeros(0)
+    return np.zeros(len(z)) if model.empty else _sigmoid(np.clip(model.slope * z + model.shift, -30, 30))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -363,19 +371,28 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS
 
     def build(batches):
-        m = shared.value
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
-                z = document_logits(m, part.column(1))
-                p = np.zeros(len(z)) if m.empty else _sigmoid(np.clip(m.slope * z + m.shift, -30, 30))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            p = document_scores(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = input_columns(docs, "doc_id", "text").mapInArrow(build, "doc_id long, score double, predicted int")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     return scored.select("doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score below 0.5, each judged by its own text, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = docs.columns, docs.columns.index("text")
+    rows = input_columns(docs, *names).toDF(*map(str, range(len(names))))  # numbers for names, so that columns can't clash
+
+    def build(batches):
+        for b in batches:
+            yield b.filter(pa.array(document_scores(shared.value, b.column(at)) < 0.5))
+
+    return rows.mapInArrow(build, rows.schema).toDF(*names)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labels (doc_id, toxic) and score all of docs (doc_id, text)."""
     return score_documents(docs, train_model(training_rows(docs, labels)))

@@ -269,7 +269,30 @@ def test_op8_equals_brute_force(spark, docs):
 def test_minimisers_are_window_minima():
     x = np.random.default_rng(2).integers(0, 9, 200).astype(np.uint64)
     want = sorted({max(k for k in range(i, i + 7) if x[k] == min(x[i : i + 7])) for i in range(194)})
-    assert suffix.minimisers(x, 7).tolist() == want
+    pos, least, most = suffix.marked(x, 7)
+    assert pos.tolist() == want
+    assert [p - a for p, lo, hi in zip(pos, least, most) for a in range(hi, lo - 1, -1)] == list(range(194))
+
+
+def test_op8_survives_colliding_anchors(spark, docs, monkeypatch):
+    # sixteen different anchors only: positions pile up, but runs are told apart by their words
+    plain = suffix.long_gram_hashes
+    monkeypatch.setattr(suffix, "long_gram_hashes", lambda w, k: plain(w, k) & np.uint64(15))
+    some = docs[:300]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    positions = suffix.suffix_positions(df.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("t"), "text"))
+    assert positions.select("anchor").distinct().count() > 0
+    got, want = brute.spans_words(suffix.repeated_spans(df).collect()), brute.repeated_words(some)
+    for a, b in zip(got, want):
+        assert {k: v for k, v in a.items() if v} == {k: v for k, v in b.items() if v}
+
+
+def test_op8_common_words_and_long_words():
+    assert suffix.common_words([b"a b c ", b"a b d ", b"a bb d ", b"a bb d e "]).tolist() == [2, 1, 3]
+    texts = ["aa  b\n" + "x" * 100 + " c", "dd"]
+    words, at = suffix.plain_words(common.Words(*common.text_buffers(pa.array(texts)), hashed=False))
+    pieces = [words[x:y] for x, y in zip(at, at[1:])]
+    assert pieces[0] == b"aa " and pieces[1] == b"b " and len(pieces[2]) == 50 and pieces[3:] == [b"c ", b"dd "]
 
 
 def test_op8_edges_and_cut(spark):
@@ -348,16 +371,45 @@ def test_op10_targets_and_fit(spark):
     assert len(plan) == 14 and mixing.mix_sources(empty_docs(spark)).count() == 0
 
 
-def test_pipeline_rows_without_id(spark, monkeypatch):
-    import corpus_pipeline
+def strange_docs(spark):
+    """odd_docs, with rows of one doc_id and different texts, repeated rows, and columns of the stages' own names."""
+    more = [(5, "another text of five " * 40, "en", "a", 1), (5, "another text of five " * 40, "en", "a", 1), (10, " ".join(words(70, 3) + words(120, 1)[:55]), "en", "b", 1)]
+    docs = odd_docs(spark).unionByName(odd_docs(spark).where("doc_id is null")).select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.unionByName(spark.createDataFrame(more, DOCS)).selectExpr("*", *[f"'{n}' as `{n}`" for n in ("row", "key", "cuts", "copies", "doc", "t", "words_left", "cut_text", "__copies", "root", "0", "a.b")])
+
 
-    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in ((1, "good one"), (2, "bad two"), (None, "good three x"), (None, "bad four"), (None, "good five"))], DOCS)
-    mixed = [r.text for r in mixing.mixed_documents(docs).collect()]
-    assert sorted(mixed) == sorted(r.text for r in docs.collect())
-    monkeypatch.setattr(toxicity, "train_model", lambda rows: None)
-    monkeypatch.setattr(toxicity, "score_documents", lambda d, model: d.select("doc_id", F.col("text").startswith("bad").cast("int").alias("predicted")))
-    left = [r.text for r in corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001").collect()]
-    assert sorted(left) == ["good five", "good one", "good three x"]
+def test_stages_on_strange_rows(spark):
+    from ridgeline.llm import pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = strange_docs(spark)
+    given = docs.collect()
+    civil = pipeline.drop_toxic(spark, docs, sf)
+    assert civil.columns == docs.columns and civil.count() <= len(given)
+    apart = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    wordless = sum(1 for r in given if not (r.text or "").split())
+    groups = brute.near_duplicates([(k, r.text) for k, r in enumerate(given)])
+    assert len(apart) == wordless + len({c for k, (n, c) in groups.items() if n})
+    assert len([t for i, t in apart if i == 5]) == 2 and (None, "no id " * 60) in apart
+    cut = pipeline.cut_repeats(spark, docs, sf).collect()
+    assert [r for r in cut if r.doc_id == 5 and r.text == odd_texts()[5]] and not [r for r in cut if r.doc_id == 8] and all(r["a.b"] == "a.b" for r in cut)
+    assert [r.text.split() for r in cut if r.doc_id == 11 or r.doc_id == 10 and r.text and len(r.text) > 50] in ([words(70, 3)], [words(70, 3) + words(120, 1)[:55]])
+    mixed = pipeline.mix(spark, docs, sf).collect()
+    plan = mixing.mix_sources(docs.select("doc_id", "text", "source").withColumn("line", F.monotonically_increasing_id()), row="line").collect()
+    assert len(plan) == len(given) and len(mixed) == sum(r.copies for r in plan)
+    size = lambda rows: sum(len((r.text or "").split()) for r in rows)
+    assert size(mixed) == sum(r.copies * r.size for r in plan) and {r.text for r in mixed if r.doc_id is None}
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert pipeline.pack(spark, docs, sf).agg(F.sum("length")).first()[0] == sum(len(v) for _, v in _ids([(0, r.text) for r in given]))
+
+
+def test_rows_without_id_are_judged(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in ((1, "good one"), (2, "bad two"), (None, "good three x"), (None, "bad four"), (2, "good five"))], DOCS)
+    assert sorted(r.text for r in mixing.mixed_documents(docs).collect()) == sorted(r.text for r in docs.collect())
+    model = toxicity.train([], [])
+    monkeypatch.setattr(toxicity, "document_scores", lambda m, texts: np.array([t.startswith("bad") for t in texts.to_pylist()], dtype=float))
+    assert len(toxicity.keep_civil(docs, model).columns) == 5
 
 
 def test_pipeline(spark):
