@@ -1,55 +1,5 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, source mix, packing.
+"""The corpus pipeline, kept in ridgeline.llm.pipeline and deleted along with it."""
 
-Each stage takes (spark, docs, sf_dir), and its result, written as Parquet and
-read again, is the next one's docs. All but the last return the columns of
-documents. Part of the subpackage ridgeline.llm, deleted along with it."""
+from ridgeline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ridgeline.llm import common, minhash, mixing, packing, suffix, tokens, toxicity
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below 0.5; the model learns from the labels outside the held-out fold."""
-    model = toxicity.train_model(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    named = docs.where("doc_id is not null")
-    gone = toxicity.score_documents(named, model).where("predicted = 1").select("doc_id").distinct()
-    # rows without an id are judged by a key of their own
-    nameless = common.save(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "pipeline-nameless")
-    bad = toxicity.score_documents(nameless.select(F.col("__row").alias("doc_id"), "text"), model).where("predicted = 1").select(F.col("doc_id").alias("__row"))
-    kept = nameless.join(bad, "__row", "left_anti").select(*docs.columns)
-    return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(kept)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest doc_id, of each group of near duplicates."""
-    return minhash.keep_one_each(docs)
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents stay in the first of them only."""
-    return suffix.remove_repeats(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, as often as it takes them."""
-    return mixing.mixed_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, tokens.vocabulary_path())
-
-
-STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("source_mix", mix), ("packing", pack)]
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
