@@ -3,8 +3,9 @@ exists, an expression that Spark SQL runs inside generated code.
 
 A wavelet is read at u = x / (a * stretch) and vanishes for |u| > half. Families
 follow their published sign: Gaussian ones are (-1)^n times the n-th derivative,
-splines the plain derivative. The registry is immutable: register() returns a
-new entry in a module-level mapping guarded by name; an unknown name is a KeyError."""
+splines the plain derivative. register() adds an entry to the process's registry
+or replaces the one of that name; entries themselves are immutable, and an unknown
+name is a KeyError."""
 
 from __future__ import annotations
 
@@ -126,12 +127,24 @@ def fractional_derivative(u: np.ndarray, alpha: float, n: float) -> np.ndarray:
     return sum((-1) ** k * _choose(n, k) * fractional_bspline(u + n / 2 - k, alpha - n) for k in range(int(math.ceil(n)) + 2))
 
 
+def fractional_sql(alpha: float, n: float) -> str:
+    """fractional_derivative as one SQL expression: equal shifts of truncated powers are added up first."""
+    d = alpha - n
+    shift: dict[float, float] = {}
+    for k in range(int(math.ceil(n)) + 2):
+        for j in range(int(math.floor(d + 1)) + 2):
+            x = n / 2 - k + (d + 1) / 2 - j
+            shift[x] = shift.get(x, 0.0) + (-1) ** (k + j) * _choose(n, k) * _choose(d + 1, j) * _inverse_gamma(d + 1)
+    terms = [f"({c!r})*(case when ({{u}})+({x!r}) > 0 then power(({{u}})+({x!r}),{d!r}) else 0.0 end)" for x, c in sorted(shift.items(), reverse=True) if c]
+    return "(" + "+".join(terms) + ")"
+
+
 def register_fractional(alpha: float, n: float | None = None, name: str | None = None) -> str:
     n = alpha - 2 if n is None else n
     if alpha - n <= -0.5:
         raise ValueError("alpha - n must be above -0.5")
     half = (alpha + 1) / 2
-    return register(name or f"fbspline{alpha}", lambda u: fractional_derivative(u, alpha, n), 18.0 / half, half)
+    return register(name or f"fbspline{alpha}", lambda u: fractional_derivative(u, alpha, n), 18.0 / half, half, fractional_sql(alpha, n))
 
 
 # --- q-Gaussians ---------------------------------------------------------------------
@@ -236,18 +249,26 @@ def register_q_mexican_hat(q: float, beta: float = 0.5, name: str | None = None)
     return register(name or f"qmhat_q{q}", lambda u: q_mexican_hat(u, q, beta), stretch, half, q_mexican_hat_sql(q, beta))
 
 
+def _gauss_legendre(lo: float, hi: float, pieces: int = 16, order: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and weights of a composite Gauss-Legendre rule."""
+    x, w = np.polynomial.legendre.leggauss(order)
+    edges = np.linspace(lo, hi, pieces + 1)
+    half = (edges[1] - edges[0]) / 2
+    return ((edges[:-1] + half)[:, None] + half * x).ravel(), np.tile(half * w, pieces)
+
+
 def _bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
     """Modified Bessel function of the second kind: the integral of exp(-x cosh t) cosh(nu t)."""
-    t = np.linspace(0, 12, 6001)
-    return np.trapezoid(np.exp(-np.outer(x, np.cosh(t))) * np.cosh(nu * t), t, axis=1)
+    t, weight = _gauss_legendre(0, 12)
+    return (np.exp(-np.outer(x, np.cosh(t))) * np.cosh(nu * t)) @ weight
 
 
 def _bessel_j(nu: float, x: np.ndarray) -> np.ndarray:
     """Bessel function of the first kind for x > 0, by Schlaefli's integrals."""
-    t = np.linspace(0, math.pi, 8001)
-    first = np.trapezoid(np.cos(nu * t - np.outer(x, np.sin(t))), t, axis=1) / math.pi
-    s = np.linspace(0, 20, 20001)
-    second = np.trapezoid(np.exp(-np.outer(x, np.sinh(s)) - nu * s), s, axis=1) * math.sin(nu * math.pi) / math.pi
+    t, weight = _gauss_legendre(0, math.pi)
+    first = np.cos(nu * t - np.outer(x, np.sin(t))) @ weight / math.pi
+    s, weight = _gauss_legendre(0, 20)
+    second = np.exp(-np.outer(x, np.sinh(s)) - nu * s) @ weight * math.sin(nu * math.pi) / math.pi
     return first - second
 
 
@@ -303,11 +324,13 @@ COIF3 = np.array([
 ])
 
 
-def cascade(low: np.ndarray, rounds: int = 12, construction: str = "reference") -> tuple[np.ndarray, np.ndarray]:
+def cascade(low: np.ndarray, rounds: int = 12, construction: str = "aliased") -> tuple[np.ndarray, np.ndarray]:
     """(t, psi) of the wavelet of a low-pass filter on the grid of step 2**-(rounds + 1).
 
-    "standard" applies the high-pass filter at the coarsest level; "reference"
-    applies it last, on the finest grid, which aliases psi."""
+    A wavelet is the high-pass combination of its scaling function at half its
+    width, and a scaling function the fixed point of refining by the low-pass filter:
+    "standard" starts from the high-pass taps and refines them. "aliased" refines first
+    and combines on the finest grid, so that psi changes sign from sample to sample."""
     n = len(low)
     low = np.asarray(low, dtype=float)
     high = (-1.0) ** np.arange(n) * low[::-1]
@@ -317,15 +340,12 @@ def cascade(low: np.ndarray, rounds: int = 12, construction: str = "reference")
         wide[::2] = x
         return np.convolve(wide, math.sqrt(2) * h)
 
-    y = np.ones(1)
-    if construction == "standard":
-        y = refine(y, high)
-    elif construction != "reference":
+    steps = {"standard": [high, *[low] * rounds], "aliased": [*[low] * rounds, high]}
+    if construction not in steps:
         raise ValueError(f"unknown construction {construction!r}")
-    for _ in range(rounds):
-        y = refine(y, low)
-    if construction == "reference":
-        y = refine(y, high)
+    y = np.ones(1)
+    for h in steps[construction]:
+        y = refine(y, h)
     t = np.arange(len(y)) * 2.0 ** -(rounds + 1)
     return t - (n - 1) / 2, y
 
@@ -366,7 +386,7 @@ def _compact(low: tuple[float, ...], construction: str) -> Evaluator:
     return cubic_spline(t[0], t[1] - t[0], y)
 
 
-def register_compact(name: str, low: np.ndarray, stretch: float, half: float, construction: str = "reference") -> str:
+def register_compact(name: str, low: np.ndarray, stretch: float, half: float, construction: str = "aliased") -> str:
     taps = tuple(float(x) for x in low)
     return register(name, lambda u: _compact(taps, construction)(u), stretch, half)
 

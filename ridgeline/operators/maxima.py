@@ -42,8 +42,22 @@ def scan(y: np.ndarray, epsilon: float, first: int, last: int) -> list[tuple[int
     """(start, end, before, value, after) of the maxima of one scale; a plateau spans at most epsilon times the norm."""
     n, out = len(y), []
     allowed = epsilon * float(np.sqrt((y[first : last + 1] ** 2).sum()))
+    # a step of more than `allowed` ends any plateau: only stretches of smaller steps need a look at each sample
+    small = ~(np.abs(np.diff(y)) > allowed) if n else np.zeros(0, bool)
+    lone = np.zeros(n, bool)
+    lone[1:-1] = ~small[:-1] & ~small[1:]
+    if allowed == allowed:
+        peak = np.flatnonzero(lone[: max(n - 3, 0)])
+        v, p, q = y[peak], y[peak - 1], y[peak + 1]
+        peak = peak[((v > 0) & (v > p) & (v > q)) | ((v < 0) & (v < p) & (v < q))]
+        out = [(i, i, y[i - 1], y[i], y[i + 1]) for i in peak.tolist()]
     i = 1
+    rest = np.flatnonzero(~lone)
     while i < n - 3:
+        if lone[i]:
+            k = np.searchsorted(rest, i)
+            i = int(rest[k]) if k < len(rest) else n
+            continue
         low = high = y[i]
         j = i + 1
         while j < n and max(high, y[j]) - min(low, y[j]) <= allowed:
@@ -55,7 +69,7 @@ def scan(y: np.ndarray, epsilon: float, first: int, last: int) -> list[tuple[int
         if low * high > 0 and ((value > 0 and value > before and value > after) or (value < 0 and value < before and value < after)):
             out.append((i, j - 1, before, value, after))
         i = j
-    return out
+    return sorted(out)
 
 
 def _by_scan(coefficients: DataFrame, epsilon: float, dx: float, x0: float) -> DataFrame:

@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 SUMS = ("stq", "stq_log", "log_stq", "ratio", "log_stq_sq", "ratio_sq", "cross")
 
 
-def partition_function(extrema: DataFrame, n_scales: int, q_list: list[float], min_chain: int | None = None) -> DataFrame:
+def partition_function(extrema: DataFrame, n_scales: int, q_list: list[float], min_chain: int | None = None, series: DataFrame | None = None) -> DataFrame:
     """series, q, si, the seven sums, n_ext, n_nonzero, index_max, signal_number, on the whole (q, scale) grid.
 
     Scales from a series' first empty one on are 0. With min_chain only maxima on
-    chains of that many nodes count; extrema then need a chain column.
+    chains of that many nodes count; extrema then need a chain column. A series
+    whose maxima the filter takes stays, with zeros and index_max -1, and so do
+    those of `series` (a table of names) that have no maxima at all.
     The grids are broadcast: their size is that of the arguments."""
     spark = extrema.sparkSession
+    names = (series or extrema).select("series").distinct()
     if min_chain is not None:
         from .ridges import longer_than
 
         extrema = longer_than(extrema, min_chain)
     per_scale = extrema.groupBy("series", "si").agg(F.count("*").alias("n_ext"))
     grid = spark.range(n_scales).select(F.col("id").cast("int").alias("si"))
-    dense = extrema.select("series").distinct().join(F.broadcast(grid)).join(per_scale, ["series", "si"], "left").fillna(0, ["n_ext"])
+    dense = names.join(F.broadcast(grid)).join(per_scale, ["series", "si"], "left").fillna(0, ["n_ext"])
     last = dense.groupBy("series").agg((F.coalesce(F.min(F.when(F.col("n_ext") == 0, F.col("si"))), F.lit(n_scales)) - 1).cast("int").alias("index_max"))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in sorted(q_list)]))
     t, ln = F.abs("ordinate"), F.ln(F.abs("ordinate"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +40,8 @@ def pixels(coefficients: DataFrame, norm: str = "lglobal", n_colors: int = 256,
     """series, si, pos, v in [0, 1], level, masked (outside the valid range).
 
     lglobal divides by the scale's greatest valid modulus, global by the series'
-    one or vlim[1], signedglobal maps [-max, max] or vlim to [0, 1]."""
+    one or vlim[1], signedglobal maps [-max, max] or vlim to [0, 1]; a limit of 0,
+    or two equal ones, are a unit apart."""
     norm = "signedglobal" if signed else norm
     inside = (F.col("pos") >= F.col("firstp")) & (F.col("pos") <= F.col("lastp")) if causal else F.lit(True)
     m, series = F.abs("w"), Window.partitionBy("series")
@@ -45,8 +51,9 @@ def pixels(coefficients: DataFrame, norm: str = "lglobal", n_colors: int = 256,
     elif norm == "global":
         v = m / one(F.lit(float(vlim[1])) if vlim else F.max(m).over(series))
     elif norm == "signedglobal":
-        top = F.lit(float(vlim[1])) if vlim else one(F.max(m).over(series))
+        top = F.lit(float(vlim[1])) if vlim else F.max(m).over(series)
         low = F.lit(float(vlim[0])) if vlim else -top
+        top = F.when(top == low, low + 1.0).otherwise(top)
         v = (F.col("w") - low) / (top - low)
     else:
         raise ValueError(f"unknown norm {norm!r}")
@@ -61,6 +68,31 @@ def painted(rows: DataFrame, kind: str = "color", n_colors: int = 256) -> DataFr
     return rows.join(F.broadcast(colors(rows.sparkSession, kind, n_colors)), "level")
 
 
+def _png(rgb: np.ndarray) -> bytes:
+    """An 8-bit RGBA image (height, width, 4) as a PNG file."""
+    height, width, _ = rgb.shape
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rgb.reshape(height, -1)], axis=1)
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
+
+
+def images(rows: DataFrame) -> DataFrame:
+    """series, width, height, png of painted pixels (painted()): the finest scale at the bottom, masked pixels transparent.
+
+    An image has a pixel for each sample; a longer series than one wants to look at is to be thinned before."""
+
+    def draw(p: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(p["pos"].max()) + 1, int(p["si"].max()) + 1
+        out = np.zeros((height, width, 4), np.uint8)
+        rgb = np.rint(p[["r", "g", "b"]].fillna(0).to_numpy() * 255).astype(np.uint8)
+        at = height - 1 - p["si"].to_numpy(), p["pos"].to_numpy()
+        out[at] = np.column_stack([rgb, np.where(p["masked"].to_numpy(), 0, 255).astype(np.uint8)])
+        return pd.DataFrame({"series": [p["series"].iloc[0]], "width": [width], "height": [height], "png": [_png(out)]})
+
+    return rows.select("series", "si", "pos", "r", "g", "b", "masked").groupBy("series").applyInPandas(draw, "series string, width int, height int, png binary")
+
+
 def extent(coefficients: DataFrame) -> DataFrame:
     """series, x_lo, x_hi, y_lo, y_hi of the image: positions, and log2 scales with half a step around."""
     scale = coefficients.groupBy("series", "a").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))

@@ -85,7 +85,7 @@ def pruned_count(linked: DataFrame) -> DataFrame:
 
 def sup_along(chains: DataFrame, a_min: float, n_voice: int, expo: float = 1.0) -> DataFrame:
     """Each ordinate becomes that of the greatest scaled modulus so far, from fine to coarse; ties to the later scale."""
-    v = F.round(F.abs("ordinate") * F.lit(a_min) * F.pow(F.lit(2.0), F.lit(expo) * F.col("si") / F.lit(n_voice)), 9)
+    v = F.abs("ordinate") * F.lit(a_min) * F.pow(F.lit(2.0), F.lit(expo) * F.col("si") / F.lit(n_voice))
     w = Window.partitionBy("series", "chain").orderBy("si").rowsBetween(Window.unboundedPreceding, 0)
     return chains.withColumn("ordinate", F.max_by("ordinate", F.struct(v.alias("v"), "si")).over(w))
 

@@ -1,8 +1,14 @@
 """Scale grid and continuous wavelet transform.
 
-Three plans give the same coefficients: "arrow" (NumPy on Arrow batches, one
-task row per series and scale), "join" (taps joined on the folded index, summed
-in the JVM) and "arrays" (higher-order functions on packed series)."""
+Four plans give the same coefficients. "chunks", the default, cuts a series into
+pieces of CHUNK samples with as many neighbouring (or mirrored) samples on both
+sides as the widest filter needs, by overlap-save: no task holds a series, and
+a piece is transformed at all scales where it is. "arrow" has one task row per series and
+scale, "arrays" uses higher-order functions on packed series, and "join" joins taps on the
+folded index, summed in the JVM; these three are for comparison.
+
+A series shorter than a scale's filter has null coefficients at that scale, or is an
+error with short="raise"."""
 
 from __future__ import annotations
 
@@ -16,6 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.wavelets import wavelet
 
 PRESETS = {"direct": ("convolve", "reflect"), "overlap_save": ("correlate", "edge_mirror")}
+#: Samples of a piece of a series.
+CHUNK = 1 << 16
 COEFFICIENTS = "series string, si int, a double, pos long, w double, firstp long, lastp long"
 
 
@@ -50,8 +58,16 @@ def extend(x: np.ndarray, s: int, border: str) -> np.ndarray:
     return np.concatenate([left, x, right])
 
 
+def convolve(wide: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The part of the convolution that needs nothing outside `wide`; long filters go through FFTs."""
+    if len(taps) <= 256:
+        return np.convolve(wide, taps, mode="valid")
+    n = 1 << (len(wide) + len(taps) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(wide, n) * np.fft.rfft(taps, n), n)[len(taps) - 1 : len(wide)]
+
+
 def transform_one(x: np.ndarray, a: float, name: str, expo: float, orientation: str, border: str) -> np.ndarray:
-    """Coefficients of one series at one scale; long filters go through FFTs."""
+    """Coefficients of one series at one scale."""
     w = wavelet(name)
     s, taps = w.half_width(a), w.taps(a)
     if 2 * s + 1 > len(x):
@@ -59,12 +75,7 @@ def transform_one(x: np.ndarray, a: float, name: str, expo: float, orientation:
     wide = extend(x, s, border)
     if orientation == "correlate":
         taps = taps[::-1]
-    if len(taps) <= 256:
-        y = np.convolve(wide, taps, mode="valid")
-    else:
-        n = 1 << (len(wide) + len(taps) - 2).bit_length()
-        y = np.fft.irfft(np.fft.rfft(wide, n) * np.fft.rfft(taps, n), n)[2 * s : 2 * s + len(x)]
-    return a**expo * y
+    return a**expo * convolve(wide, taps)
 
 
 def _check(orientation: str, border: str) -> None:
@@ -72,13 +83,17 @@ def _check(orientation: str, border: str) -> None:
         raise ValueError(f"unknown orientation {orientation!r} or border {border!r}")
 
 
-def cwt(signals: DataFrame, a_min: float, n_oct: int, n_voice: int, name: str = "g2", expo: float = -1.0, preset: str = "direct", plan: str = "arrow") -> DataFrame:
+def cwt(signals: DataFrame, a_min: float, n_oct: int, n_voice: int, name: str = "g2", expo: float = -1.0, preset: str = "direct", plan: str = "chunks", short: str = "null") -> DataFrame:
     """Coefficients (series, si, a, pos, w, firstp, lastp) of signals; firstp..lastp is free of border effects."""
     orientation, border = PRESETS[preset]
     _check(orientation, border)
+    if short not in ("null", "raise"):
+        raise ValueError(f"unknown treatment {short!r} of short series")
     scales = scale_values(a_min, n_oct, n_voice)
+    if plan == "chunks":
+        return _chunks(signals, scales, name, expo, orientation, border, short)
     if plan == "arrow":
-        return _arrow(signals, scales, name, expo, orientation, border)
+        return _arrow(signals, scales, name, expo, orientation, border, short)
     if plan == "arrays":
         return _arrays(signals, scales, name, expo, orientation, border)
     if plan != "join":
@@ -96,7 +111,71 @@ def cwt(signals: DataFrame, a_min: float, n_oct: int, n_voice: int, name: str =
     return w.select("series", "si", a.alias("a"), "pos", (F.pow(a, F.lit(expo)) * F.col("w")).alias("w"), F.col("s").cast("long").alias("firstp"), (F.col("n") - 1 - F.col("s")).cast("long").alias("lastp"))
 
 
-def _arrow(signals, scales, name, expo, orientation, border) -> DataFrame:
+def _too_short(a: float, s: int, n: int, short: str) -> bool:
+    if 2 * s + 1 <= n:
+        return False
+    if short == "raise":
+        raise ValueError(f"scale {a}: filter of {2 * s + 1} samples, series of {n}")
+    return True
+
+
+def _chunks(signals, scales, name, expo, orientation, border, short) -> DataFrame:
+    """Overlap-save over pieces of CHUNK samples."""
+    wave = wavelet(name)
+    half = [wave.half_width(a) for a in scales]
+    halo, size = max(half), F.lit(CHUNK)
+    lengths = signals.groupBy("series").agg(F.count("*").alias("n"))
+    rows = signals.select("series", "pos", "x").join(lengths, "series")
+    # a sample stands at its own place and, near an end, at its mirror images; each is needed by the pieces within reach
+    mirror = 2 * F.col("n") - (2 if border == "reflect" else 1) - F.col("pos")
+    left, right = (F.col("pos") > 0) & (F.col("pos") <= halo), (mirror >= F.col("n")) & (mirror < F.col("n") + halo)
+    places = F.filter(F.array("pos", F.when(left, -F.col("pos")), F.when(right, mirror)), lambda p: p.isNotNull())
+    rows = rows.select("series", "n", "x", F.explode(places).alias("at"))
+    first = F.greatest(F.lit(0), F.floor((F.col("at") - halo) / size))
+    last = F.least(F.floor((F.col("n") - 1) / size), F.floor((F.col("at") + halo) / size))
+    rows = rows.where(first <= last).select("series", F.explode(F.sequence(first, last)).alias("chunk"), "at", "x", "n")
+    rows = rows.repartition("series", "chunk").sortWithinPartitions("series", "chunk", "at")
+
+    def transform(series, chunk, n, at, x):
+        begin, end = chunk * CHUNK, min(n, (chunk + 1) * CHUNK)
+        for si, (a, s) in enumerate(zip(scales, half)):
+            if _too_short(a, s, n, short):
+                y = pa.nulls(end - begin, pa.float64())
+            else:
+                taps = wave.taps(a) if orientation == "convolve" else wave.taps(a)[::-1]
+                y = pa.array(a**expo * convolve(x[np.searchsorted(at, begin - s) : np.searchsorted(at, end + s)], taps))
+            k = end - begin
+            columns = [pa.repeat(pa.scalar(series, pa.string()), k), np.full(k, si, np.int32), np.full(k, a), np.arange(begin, end), y, np.full(k, s), np.full(k, n - 1 - s)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["series", "si", "a", "pos", "w", "firstp", "lastp"])
+
+    def build(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            x = t.column("x").to_numpy().astype(float)
+            yield from transform(key[0], key[1], t.column("n")[0].as_py(), t.column("at").to_numpy(), x)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, numbers = b.column(0).to_pylist(), b.column(1).to_numpy()
+            cuts = [0, *(i for i in range(1, len(names)) if numbers[i] != numbers[i - 1] or names[i] != names[i - 1]), len(names)]
+            for i, j in zip(cuts, cuts[1:]):
+                own = names[i], int(numbers[i])
+                if held and own != key:
+                    yield from flush()
+                    held.clear()
+                key = own
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(build, COEFFICIENTS)
+
+
+def _arrow(signals, scales, name, expo, orientation, border, short) -> DataFrame:
     wave = wavelet(name)
     rows = pack(signals).withColumn("si", F.explode(F.array(*[F.lit(i) for i in range(len(scales))])))
     # a series' scales are dealt to different tasks
@@ -105,14 +184,14 @@ def _arrow(signals, scales, name, expo, orientation, border) -> DataFrame:
     def build(batches):
         from ..functions import wavelets as registry
 
-        registry._REGISTRY.setdefault(name, wave)
+        registry._REGISTRY[name] = wave  # as it was when the query was made, whatever this worker ran before
         for b in batches:
             for series, xs, si in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 x, s = xs.values.to_numpy(zero_copy_only=False).astype(float), wave.half_width(scales[si])
-                y = transform_one(x, scales[si], name, expo, orientation, border)
                 n = len(x)
+                y = pa.nulls(n, pa.float64()) if _too_short(scales[si], s, n, short) else pa.array(transform_one(x, scales[si], name, expo, orientation, border))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([series] * n), pa.array(np.full(n, si, np.int32)), pa.array(np.full(n, scales[si])), pa.array(np.arange(n)), pa.array(y), pa.array(np.full(n, s)), pa.array(np.full(n, n - 1 - s))],
+                    [pa.array([series] * n), pa.array(np.full(n, si, np.int32)), pa.array(np.full(n, scales[si])), pa.array(np.arange(n)), y, pa.array(np.full(n, s)), pa.array(np.full(n, n - 1 - s))],
                     names=["series", "si", "a", "pos", "w", "firstp", "lastp"],
                 )
 

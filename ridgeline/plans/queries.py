@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +55,11 @@ def sql_scales(n_oct: int = N_OCT, n_voice: int = N_VOICE) -> str:
     return f"sc AS (SELECT i::INTEGER AS si, {A_MIN}::DOUBLE * pow(pow(2.0::DOUBLE, {1 / n_voice!r}::DOUBLE), i) AS a FROM range({n_oct * n_voice}) t(i))"
 
 
-def sql_cwt(name: str = "g2", preset: str = "direct", n_oct: int = N_OCT, n_voice: int = N_VOICE) -> list[str]:
+def sql_cwt(name: str = "g2", preset: str = "direct", n_oct: int = N_OCT, n_voice: int = N_VOICE, form: str | None = None) -> list[str]:
+    """The transform on lists; `form` states the wavelet in terms of {u} apart from the registry's expression."""
     w = W.wavelet(name)
     order, right = ("DESC", "xs[n - s:n - 1]") if preset == "direct" else ("ASC", "xs[n - s + 1:n]")
-    psi = w.sql.replace("{u}", f"(m / (a * {w.stretch!r}::DOUBLE))")
+    psi = (form or w.sql).replace("{u}", f"(m / (a * {w.stretch!r}::DOUBLE))")
     return [
         LENGTHS,
         sql_scales(n_oct, n_voice),
@@ -65,7 +69,7 @@ def sql_cwt(name: str = "g2", preset: str = "direct", n_oct: int = N_OCT, n_voic
         f"tl AS (SELECT si, a, s, list(psi ORDER BY m {order}) AS taps FROM tp GROUP BY ALL)",
         "pk AS (SELECT series, list(x ORDER BY pos) AS xs, count(*) AS n FROM sig GROUP BY series)",
         f"wd AS (SELECT series, n, si, a, s, taps, list_concat(list_reverse(xs[2:s + 1]), xs, list_reverse({right})) AS wide FROM pk, tl)",
-        "wl AS (SELECT series, n, si, a, s, list_transform(range(n), lambda p: list_dot_product(wide[p + 1:p + 2 * s + 1], taps)) AS ws FROM wd)",
+        "wl AS (SELECT series, n, si, a, s, CASE WHEN 2 * s + 1 <= n THEN list_transform(range(n), lambda p: list_dot_product(wide[p + 1:p + 2 * s + 1], taps)) ELSE list_transform(range(n), lambda p: NULL::DOUBLE) END AS ws FROM wd)",
         "cw AS MATERIALIZED (SELECT series, n, si, a, s AS firstp, n - 1 - s AS lastp, pos, round(v / a, 9) + 0.0 AS w FROM (SELECT series, n, si, a, s, unnest(range(n)) AS pos, unnest(ws) AS v FROM wl))",
     ]
 
@@ -89,7 +93,7 @@ SQL_LINKS = [
     "cn AS (SELECT ext.*, ch.chain, lag(ordinate) OVER (PARTITION BY ch.series, ch.chain ORDER BY ext.si) AS finer_ord FROM ch JOIN ext ON ext.series = ch.series AND ext.si = ch.s AND ext.ext = ch.e)",
     "cu AS (SELECT *, min(CASE WHEN ordinate * finer_ord < 0 THEN si END) OVER (PARTITION BY series, chain) AS cut FROM cn)",
     "pr AS (SELECT series, si, row_number() OVER (PARTITION BY series, si ORDER BY ext) - 1 AS ext, abscissa, ordinate, idx, chain FROM cu WHERE cut IS NULL OR si < cut)",
-    f"su AS (SELECT series, si, ext, abscissa, idx, chain, arg_max(ordinate, row(round(abs(ordinate) * {A_MIN}::DOUBLE * pow(2.0::DOUBLE, si / {N_VOICE}::DOUBLE), 9), si)) "
+    f"su AS (SELECT series, si, ext, abscissa, idx, chain, arg_max(ordinate, row(abs(ordinate) * {A_MIN}::DOUBLE * pow(2.0::DOUBLE, si / {N_VOICE}::DOUBLE), si)) "
     "OVER (PARTITION BY series, chain ORDER BY si ROWS UNBOUNDED PRECEDING) AS ordinate FROM pr)",
 ]
 
@@ -98,7 +102,7 @@ def sql_moments(source: str) -> list[str]:
     return [
         f"mo AS (SELECT series, si, ordinate FROM {source})",
         f"qs AS (SELECT unnest({Q_LIST!r}::DOUBLE[]) AS q)",
-        f"grid AS (SELECT series, i::INTEGER AS si FROM (SELECT DISTINCT series FROM mo), range({N_SCALES}) t(i))",
+        f"grid AS (SELECT series, i::INTEGER AS si FROM (SELECT DISTINCT series FROM sig), range({N_SCALES}) t(i))",
         "ne AS (SELECT grid.series, grid.si, count(ordinate) AS n_ext FROM grid LEFT JOIN mo ON mo.series = grid.series AND mo.si = grid.si GROUP BY ALL)",
         f"im AS (SELECT series, (coalesce(min(CASE WHEN n_ext = 0 THEN si END), {N_SCALES}) - 1)::INTEGER AS index_max FROM ne GROUP BY series)",
         "sm AS (SELECT series, q, si, count(*) AS m0, sum(pow(abs(ordinate), q)) AS m1, sum(pow(abs(ordinate), q) * ln(abs(ordinate))) AS m2 FROM mo, qs WHERE ordinate <> 0 GROUP BY ALL)",
@@ -145,7 +149,7 @@ def steady(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
-def coefficients(spark, sf_dir, name="g2", preset="direct", plan="arrow") -> DataFrame:
+def coefficients(spark, sf_dir, name="g2", preset="direct", plan="chunks") -> DataFrame:
     return steady(transform.cwt(events_seq(spark, sf_dir), A_MIN, N_OCT, N_VOICE, name, preset=preset, plan=plan), "w")
 
 
@@ -162,11 +166,11 @@ def supped(spark, sf_dir) -> DataFrame:
 
 
 def raw_moments(spark, sf_dir) -> DataFrame:
-    return moments.partition_function(extrema(spark, sf_dir), N_SCALES, Q_LIST)
+    return moments.partition_function(extrema(spark, sf_dir), N_SCALES, Q_LIST, series=events_seq(spark, sf_dir))
 
 
 def chain_moments(spark, sf_dir) -> DataFrame:
-    return moments.partition_function(supped(spark, sf_dir), N_SCALES, Q_LIST, min_chain=2)
+    return moments.partition_function(supped(spark, sf_dir), N_SCALES, Q_LIST, min_chain=2, series=events_seq(spark, sf_dir))
 
 
 def grid_of_u(spark: SparkSession) -> DataFrame:
@@ -251,27 +255,148 @@ def wavelet_support(spark, sf_dir):
     return _union([grid.select(F.lit(n).alias("name"), "si", F.round(W.support("a", n)["lo"], 9).alias("lo"), F.round(W.support("a", n)["hi"], 9).alias("hi")) for n in ("g0", "g2", "bspline3", "db3")])
 
 
-@query()
+_NORM2 = "4 * sqrt(2.0::DOUBLE)"
+_LIT = lambda taps: f"{[float(x) for x in taps]!r}::DOUBLE[]"
+#: Low-pass taps: closed forms of order 2 and 3 (Daubechies 1992) and the first Coiflet, else the registry's values.
+_LOW = {
+    "db2": f"list_transform([1 - sqrt(3.0), 3 - sqrt(3.0), 3 + sqrt(3.0), 1 + sqrt(3.0)], lambda x: x / ({_NORM2}))",
+    "db3": "list_transform([1 + z - w, 5 + z - 3 * w, 10 - 2 * z - 2 * w, 10 - 2 * z + 2 * w, 5 + z + 3 * w, 1 + z + w], lambda x: x / (16 * sqrt(2.0)))",
+    "db4": _LIT(W.daubechies(4)),
+    "coif1": "list_transform([sqrt(7.0) - 3, 1 - sqrt(7.0), 14 - 2 * sqrt(7.0), 14 + 2 * sqrt(7.0), 5 + sqrt(7.0), 1 - sqrt(7.0)], lambda x: x / (16 * sqrt(2.0)))",
+    "coif2": _LIT(W.COIF2),
+    "coif3": _LIT(W.COIF3),
+}
+
+
+def sql_cascade(names, rounds: int) -> list[str]:
+    """(name, construction, i, v): refinement as a join of samples and taps, summed by place."""
+    return [
+        "wz AS (SELECT sqrt(10.0::DOUBLE) AS z, sqrt(5 + 2 * sqrt(10.0::DOUBLE)) AS w)",
+        "lo AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {_LOW[n]} AS taps FROM wz" for n in names) + ")",
+        "cs AS (SELECT unnest(['standard', 'aliased']) AS construction)",
+        "tk AS (SELECT name, k, sqrt(2.0::DOUBLE) * taps[k + 1] AS low, sqrt(2.0::DOUBLE) * taps[len(taps) - k] * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS high, len(taps) AS n FROM lo, unnest(range(len(taps))) u(k))",
+        "rf AS (SELECT name, construction, 0 AS step, 0::BIGINT AS i, 1.0::DOUBLE AS v FROM lo, cs UNION ALL "
+        "SELECT rf.name, construction, step + 1, 2 * i + k, sum(v * CASE WHEN (construction = 'standard' AND step = 0) "
+        f"OR (construction = 'aliased' AND step = {rounds}) THEN high ELSE low END) FROM rf JOIN tk ON tk.name = rf.name WHERE step <= {rounds} GROUP BY rf.name, construction, step, 2 * i + k)",
+        f"cy AS (SELECT name, construction, i, i * pow(2.0::DOUBLE, {-rounds - 1}) - (n - 1) / 2.0::DOUBLE AS t, v FROM rf JOIN (SELECT DISTINCT name, n FROM tk) USING (name) WHERE step = {rounds + 1})",
+    ]
+
+
+_COMPACT = {"db2": W.daubechies(2), "db3": W.daubechies(3), "db4": W.daubechies(4), "coif1": W.COIF1, "coif2": W.COIF2, "coif3": W.COIF3}
+
+
+@query(with_(*sql_cascade(_COMPACT, 12), select="SELECT name, construction, t, round(v, 6) + 0.0 AS psi FROM cy"))
 def compact_tables(spark, sf_dir):
-    """Taps of the wavelets without a closed form at scale 1, in both constructions; tested against quadrature and moments."""
-    rows = []
-    for name, low, stretch, half in (("db2", W.daubechies(2), 12.0, 1.5), ("db3", W.daubechies(3), 7.2, 2.5), ("db4", W.daubechies(4), 5.14, 3.5), ("coif1", W.COIF1, 7.2, 2.5), ("coif2", W.COIF2, 3.27, 5.5), ("coif3", W.COIF3, 2.12, 8.5)):
-        for construction in ("reference", "standard"):
-            t, y = W.cascade(low, 6, construction)
-            rows += [(name, construction, float(a), float(b)) for a, b in zip(t[::8], y[::8])]
-    return spark.createDataFrame(rows, "name string, construction string, t double, psi double")
+    """All samples of the wavelets without a closed form, after all rounds, in both constructions."""
+
+    def build(batches):
+        for b in batches:
+            for name, construction in zip(*(c.to_pylist() for c in b.columns)):
+                t, y = W.cascade(_COMPACT[name], construction=construction)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(t)), pa.array([construction] * len(t)), pa.array(t), pa.array(y)], names=["name", "construction", "t", "psi"])
+
+    specs = spark.createDataFrame([(n, c) for n in _COMPACT for c in ("standard", "aliased")], "name string, construction string").repartition("name")
+    return steady(specs.mapInArrow(build, "name string, construction string, t double, psi double"), "psi", digits=6)
+
+
+def _spline_through(points: int):
+    """A cubic is its own not-a-knot spline."""
+    x = [-1.0 + k * 0.25 for k in range(points)]
+    return W.cubic_spline(x[0], 0.25, np.array([v**3 - 2 * v * v + 0.5 for v in x]))
+
+
+@query("SELECT u, round(CASE WHEN u BETWEEN -1 AND 3 THEN u * u * u - 2 * u * u + 0.5 ELSE 0 END, 9) + 0.0 AS y FROM (SELECT i / 16.0::DOUBLE AS u FROM range(-40, 65) t(i))")
+def spline_table(spark, sf_dir):
+    """The spline evaluator between, at and outside its knots."""
+    evaluate = _spline_through(17)
+
+    def build(frames):
+        for p in frames:
+            yield p.assign(y=evaluate(p["u"].to_numpy()))
+
+    return steady(spark.range(-40, 65).select((F.col("id") / 16.0).alias("u")).mapInPandas(build, "u double, y double"), "y")
+
+
+def _product(n: float, k: int) -> str:
+    """The binomial of a real n as a product."""
+    return "(" + " * ".join(["1.0::DOUBLE", *(f"(({n!r}::DOUBLE - {i}) / {i + 1})" for i in range(k))]) + ")"
+
+
+def _fractional(alpha: float, n: float) -> str:
+    """The derivative of order n of the fractional B-spline, term by term as its definition has it."""
+    d, terms = alpha - n, []
+    for k in range(math.ceil(n) + 2):
+        for j in range(math.floor(d + 1) + 2):
+            x = f"({{u}} + {n / 2 - k + (d + 1) / 2 - j!r}::DOUBLE)"
+            terms.append(f"{(-1) ** (k + j)} * {_product(n, k)} * {_product(d + 1, j)} * CASE WHEN {x} > 0 THEN pow({x}, {d!r}::DOUBLE) ELSE 0 END")
+    return "((" + " + ".join(terms) + f") / gamma({d + 1!r}::DOUBLE))"
+
 
+#: Added before rounding: polynomials on the grid end in exact halves.
+_OFF_GRID = 0.0000000000123
+_ALPHAS = [(2.5, 0.5), (3.0, 1.0), (3.5, 1.5), (2.75, 1.5)]
 
-@query()
+
+@query(with_(U_GRID, select=" UNION ALL ".join(f"SELECT {a!r}::DOUBLE AS alpha, {n!r}::DOUBLE AS n, u, round({_fractional(a, n).replace('{u}', 'u')} + {_OFF_GRID!r}::DOUBLE, 9) + 0.0 AS psi FROM ug" for a, n in _ALPHAS)))
 def fractional_tables(spark, sf_dir):
-    rows = [(alpha, float(u), float(v)) for alpha in (2.5, 3.0, 3.5) for u, v in zip(range(-30, 31), W.fractional_derivative([x / 10 for x in range(-30, 31)], alpha, alpha - 2))]
-    return spark.createDataFrame(rows, "alpha double, u double, psi double")
+    return _union([grid_of_u(spark).select(F.lit(a).alias("alpha"), F.lit(n).alias("n"), "u", (F.round(F.expr(W.fractional_sql(a, n).replace("{u}", "u")) + F.lit(_OFF_GRID), 9) + F.lit(0.0)).alias("psi")) for a, n in _ALPHAS])
+
+
+@query(with_(U_GRID, select=f"SELECT u, round({_fractional(2.5, 0.0).replace('{u}', 'u')}, 8) + 0.0 AS psi FROM ug"))
+def fractional_spline(spark, sf_dir):
+    """The fractional B-spline itself, by the evaluator."""
 
+    def build(frames):
+        for p in frames:
+            yield p.assign(psi=W.fractional_bspline(p["u"].to_numpy(), 2.5))
 
-@query()
+    return steady(grid_of_u(spark).mapInPandas(build, "u double, psi double"), "psi", digits=8)
+
+
+@query(with_(U_GRID, "qn AS (SELECT unnest([0, 1, 2, 3, 4]) AS n)", select="""
+SELECT n::INTEGER AS n, u, round(CASE WHEN b <= 0 THEN 0 WHEN n = 0 THEN pow(b, 2.5) WHEN n = 1 THEN u * pow(b, 1.5)
+  WHEN n = 2 THEN 0.6 * u * u * pow(b, 0.5) - pow(b, 1.5)
+  WHEN n = 3 THEN 0.12 * u * u * u * pow(b, -0.5) - 1.8 * u * pow(b, 0.5)
+  ELSE -0.024 * pow(u, 4) * pow(b, -1.5) - 0.72 * u * u * pow(b, -0.5) + 1.8 * pow(b, 0.5) END, 7) + 0.0 AS psi
+FROM (SELECT *, 1 - 0.4::DOUBLE * u * u / 2 AS b FROM ug, qn)"""))
+def qgauss_compact(spark, sf_dir):
+    """q below 1: compact support."""
+    return _union([grid_of_u(spark).select(F.lit(n).alias("n"), "u", (F.round(F.expr(W.q_gaussian_sql(0.6, n).replace("{u}", "u")), 7) + F.lit(0.0)).alias("psi")) for n in range(5)])
+
+
+@query(with_(U_GRID, select="""
+SELECT 0.5::DOUBLE AS q, u, round(CASE WHEN abs(u) < 2 THEN pow(0.5, 0.25) / (pow(pi(), 0.25) * sqrt(3)) * (sqrt(4.5) * sqrt(3.5) / 2) * sqrt(sqrt(0.5) * gamma(3.5) / gamma(3.0)) * (1 - 1.25 * u * u) * (1 - 0.25 * u * u) ELSE 0 END, 9) + 0.0 AS psi FROM ug
+UNION ALL SELECT 1.0::DOUBLE AS q, u, round(2 / (pow(pi(), 0.25) * sqrt(3)) * (1 - u * u) * exp(-u * u / 2), 9) + 0.0 AS psi FROM ug"""))
+def qmhat_compact(spark, sf_dir):
+    return _union([grid_of_u(spark).select(F.lit(q).alias("q"), "u", (F.round(F.expr(W.q_mexican_hat_sql(q).replace("{u}", "u")), 9) + F.lit(0.0)).alias("psi")) for q in (0.5, 1.0)])
+
+
+@query(with_(
+    "og AS (SELECT i / 10.0::DOUBLE AS omega, abs(i / 10.0::DOUBLE) AS w FROM range(-40, 41) t(i))",
+    "nq AS (SELECT 2 / (pow(pi(), 0.25) * sqrt(3)) AS a1, pow(0.5, 0.25) / (pow(pi(), 0.25) * sqrt(3)) AS f)",
+    # norms at q = 0.5, 1.5, 2 from gamma functions
+    "ny AS (SELECT a1, f * (sqrt(4.5) * sqrt(3.5) / 2) * sqrt(sqrt(0.5) * gamma(3.5) / gamma(3.0)) AS a05, f * sqrt(pow(0.5, 2.5) * gamma(6.0) / gamma(3.5)) AS a15, f * sqrt(gamma(4.0) / gamma(1.5)) AS a2 FROM nq)",
+    # J of order 3.5 by its power series
+    "bj AS (SELECT omega, sum(CASE WHEN m % 2 = 0 THEN 1 ELSE -1 END * exp((2 * m + 3.5) * ln(w) - lgamma(m + 1.0) - lgamma(m + 4.5))) AS j FROM og, range(60) t(m) WHERE w > 0 GROUP BY omega)",
+    select="""SELECT q, omega, round(CASE WHEN w = 0 THEN 0 WHEN q = 1 THEN a1 * w * w * exp(-w * w / 2) WHEN q = 2 THEN a2 * sqrt(pi()) * sqrt(2) * w * exp(-w * sqrt(2))
+  WHEN q = 1.5 THEN a15 / (0.25 * sqrt(2) * 0.5) * w * w * sqrt(w) * sqrt(pi() / (4 * w)) * exp(-2 * w)
+  ELSE a05 * gamma(4.0) / (1.5 * sqrt(2) * 0.5) * w * w * pow(1 / w, 3.5) * j END, 8) + 0.0 AS value
+FROM og JOIN (SELECT unnest([0.5, 1.0, 1.5, 2.0]::DOUBLE[]) AS q) ON true CROSS JOIN ny LEFT JOIN bj USING (omega)"""))
 def qmhat_fourier(spark, sf_dir):
-    w = [x / 10 for x in range(-40, 41)]
-    return spark.createDataFrame([(q, x, float(v)) for q in (0.5, 1.0, 1.5, 2.0) for x, v in zip(w, W.q_mexican_hat_fourier(w, q))], "q double, omega double, value double")
+    def build(frames):
+        for p in frames:
+            for q in (0.5, 1.0, 1.5, 2.0):
+                yield pd.DataFrame({"q": q, "omega": p["omega"], "value": W.q_mexican_hat_fourier(p["omega"].to_numpy(), q)})
+
+    grid = spark.range(-40, 41).select((F.col("id") / 10.0).alias("omega"))
+    return steady(grid.mapInPandas(build, "q double, omega double, value double"), "value", digits=8)
+
+
+@query(with_(U_GRID, sql_scales(), select="SELECT si, u, round((pow(u / (3 * a), 2) - 1) * exp(-pow(u / (3 * a), 2) / 2), 9) + 0.0 AS psi FROM ug, sc"))
+def direct_column(spark, sf_dir):
+    """A wavelet as a column of positions and scales."""
+    rows = transform.scale_grid(spark, A_MIN, N_OCT, N_VOICE).select("si", "a", F.explode(F.sequence(F.lit(-80), F.lit(80))).alias("i")).withColumn("u", F.col("i") / 10.0)
+    return steady(rows.select("si", "u", W.direct("u", "a", "g2").alias("psi")), "psi")
 
 
 # --- transform -----------------------------------------------------------------------------------
@@ -281,7 +406,7 @@ _OFF_HALF = 0.0000123
 _W4 = f"SELECT series, si, pos, round(w + {_OFF_HALF}::DOUBLE, 4) AS w FROM cw"
 
 
-def _cwt(name, preset="direct", plan="arrow"):
+def _cwt(name, preset="direct", plan="chunks"):
     return lambda spark, sf_dir: coefficients(spark, sf_dir, name, preset, plan).select("series", "si", "pos", F.round(F.col("w") + F.lit(_OFF_HALF), 4).alias("w"))
 
 
@@ -294,6 +419,49 @@ for _key, _args in {
     query(with_(EVENTS_SEQ, *sql_cwt(*_args[:2]), select=_W4))(_f)
 
 
+def _events_cwt(key: str, register, form: str, n_oct: int = 1, n_voice: int = 4):
+    """A query with a wavelet that it registers first; the oracle states the wavelet by itself."""
+    name = register()
+
+    def run(spark, sf_dir):
+        rows = steady(transform.cwt(events_seq(spark, sf_dir), A_MIN, n_oct, n_voice, register()), "w")
+        return rows.select("series", "si", "pos", F.round(F.col("w") + F.lit(_OFF_HALF), 4).alias("w"))
+
+    run.__name__ = key
+    query(with_(EVENTS_SEQ, *sql_cwt(name, "direct", n_oct, n_voice, form), select=_W4))(run)
+
+
+_U2 = "pow({u}, 2)"
+_events_cwt("cwt_q_gaussian", lambda: W.register_q_gaussian(1.4, 2), f"(-pow(1 + 0.2 * {_U2}, -4.5) * ((1 + 0.2 * {_U2}) - 1.4 * {_U2}))")
+_events_cwt("cwt_q_mexican_hat", lambda: W.register_q_mexican_hat(1.5), f"(pow(0.5, 0.25) / (pow(pi(), 0.25) * sqrt(3)) * sqrt(pow(0.5, 2.5) * exp(lgamma(6) - lgamma(3.5))) * (1 - 0.75 * {_U2}) * pow(1 + 0.25 * {_U2}, -3.0))")
+_events_cwt("cwt_fractional", lambda: W.register_fractional(3.0, 1.0), _fractional(3.0, 1.0))
+# on a dyadic stretch the taps of scales 1 and 2 are samples of the cascade
+
+
+def _dyadic() -> str:
+    return W.register_compact("db3_dyadic", W.daubechies(3), 8.0, 2.5, "standard")
+
+
+def _dyadic_sql() -> str:
+    w = W.wavelet(_dyadic())
+    ctes = sql_cwt(w.name, "direct", 2, 1, "0")
+    taps = f"tp AS (SELECT tm.*, coalesce(v, 0) AS psi FROM tm LEFT JOIN cy ON construction = 'standard' AND cy.i = round((m / (a * {w.stretch!r}::DOUBLE) + 2.5) * 8192)::BIGINT)"
+    return with_(EVENTS_SEQ, *sql_cascade(["db3"], 12), *[taps if c.startswith("tp AS") else c for c in ctes], select=_W4)
+
+
+@query(_dyadic_sql())
+def cwt_db3(spark, sf_dir):
+    rows = steady(transform.cwt(events_seq(spark, sf_dir), A_MIN, 2, 1, _dyadic()), "w")
+    return rows.select("series", "si", "pos", F.round(F.col("w") + F.lit(_OFF_HALF), 4).alias("w"))
+
+
+@query(with_(EVENTS_USER, *sql_cwt("g2", "direct", 2, 2), select=_W4))
+def cwt_short_series(spark, sf_dir):
+    """Series of some 50 to 90 samples, shorter than the widest filters: null there."""
+    rows = steady(transform.cwt(events_user(spark, sf_dir), A_MIN, 2, 2, "g2"), "w")
+    return rows.select("series", "si", "pos", F.round(F.col("w") + F.lit(_OFF_HALF), 4).alias("w"))
+
+
 @query(with_(EMBEDDINGS, *sql_cwt("g2", "direct", 1, 4), select=_W4))
 def cwt_embeddings(spark, sf_dir):
     sig = signals.from_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -332,6 +500,32 @@ def maxima_scan(spark, sf_dir):
     return maxima.maxima(coefficients(spark, sf_dir), 1e-15).groupBy("series", "si").agg(F.count("*").alias("n"))
 
 
+def sql_scan(epsilon: float) -> list[str]:
+    """The greedy scan sample by sample: a plateau grows while its values span at most epsilon times the norm of the valid range."""
+    return [
+        f"yl AS (SELECT series, si, any_value(n) AS n, list(w ORDER BY pos) AS ys, {epsilon!r}::DOUBLE * sqrt(sum(CASE WHEN pos BETWEEN firstp AND lastp THEN w * w END)) AS room FROM cw GROUP BY series, si)",
+        "sn AS (SELECT series, si, 1::BIGINT AS i, 2::BIGINT AS j, ys[2] AS low, ys[2] AS high, NULL::BIGINT AS ci, NULL::BIGINT AS ce, NULL::DOUBLE AS cl, NULL::DOUBLE AS ch FROM yl WHERE n > 4 UNION ALL "
+        "SELECT series, si, CASE WHEN fits THEN i ELSE j END, j + 1, CASE WHEN fits THEN least(low, y) ELSE y END, CASE WHEN fits THEN greatest(high, y) ELSE y END, "
+        "CASE WHEN NOT fits THEN i END, CASE WHEN NOT fits THEN j - 1 END, CASE WHEN NOT fits THEN low END, CASE WHEN NOT fits THEN high END FROM "
+        "(SELECT sn.*, ys[j + 1] AS y, greatest(high, ys[j + 1]) - least(low, ys[j + 1]) <= room AS fits FROM sn JOIN yl USING (series, si) WHERE i < n - 3 AND j < n))",
+        "pl AS (SELECT series, si, ci AS i, ce AS e, ys[ci] AS p, CASE WHEN ch >= 0 THEN ch ELSE cl END AS v, ys[ce + 2] AS q FROM sn JOIN yl USING (series, si) WHERE ci IS NOT NULL AND cl * ch > 0)",
+        "ext AS (SELECT series, si, row_number() OVER (PARTITION BY series, si ORDER BY i) - 1 AS ext, round(i - ((q - p) / 2) / (2 * ((q + p) / 2 - v)), 9) AS abscissa, "
+        "round(v - pow((q - p) / 2, 2) / (4 * ((q + p) / 2 - v)), 9) AS ordinate, (i + e) // 2 AS idx FROM pl WHERE (v > 0 AND v > p AND v > q) OR (v < 0 AND v < p AND v < q))",
+    ]
+
+
+def _scanned(key: str, epsilon: float):
+    def run(spark, sf_dir):
+        return _r4(steady(maxima.maxima(coefficients(spark, sf_dir), epsilon), "abscissa", "ordinate"), "series", "si", "ext", "abscissa", "ordinate", "idx")
+
+    run.__name__ = key
+    query(with_(EVENTS_SEQ, *sql_cwt(), *sql_scan(epsilon), select=f"SELECT series, si, ext::INTEGER AS ext, {_R4}, idx FROM ext"))(run)
+
+
+_scanned("maxima_default", 1e-6)
+_scanned("maxima_coarse", 1e-2)
+
+
 @query(with_(*CHAIN, *SQL_LINKS, select="SELECT e.series, e.si, e.ext::INTEGER AS ext, u.c::INTEGER AS coarser, d.f::INTEGER AS finer FROM ext e "
              "LEFT JOIN lk u ON u.series = e.series AND u.s = e.si + 1 AND u.f = e.ext LEFT JOIN lk d ON d.series = e.series AND d.s = e.si AND d.c = e.ext"))
 def ridge_links(spark, sf_dir):
@@ -354,6 +548,16 @@ def ridge_sup(spark, sf_dir):
     return _r4(supped(spark, sf_dir), "series", "si", "ext", "abscissa", "ordinate")
 
 
+_TINY = [5e-12, -1e-12, 4e-12, 1e-13]
+
+
+@query(f"SELECT si, arg_max(ordinate, row(abs(ordinate) * pow(2.0::DOUBLE, si), si)) OVER (ORDER BY si ROWS UNBOUNDED PRECEDING) AS ordinate FROM (SELECT (i - 1)::INTEGER AS si, ({_TINY!r}::DOUBLE[])[i] AS ordinate FROM range(1, 5) t(i))")
+def ridge_sup_tiny(spark, sf_dir):
+    """Ordinates far below any rounding."""
+    rows = spark.createDataFrame([("s", 0, i, v) for i, v in enumerate(_TINY)], "series string, chain int, si int, ordinate double")
+    return ridges.sup_along(rows, 1.0, 1).select("si", "ordinate")
+
+
 @query(with_(*CHAIN, *SQL_LINKS, select=f"SELECT series, chain::INTEGER AS chain, si, {_R4}, round(si / {N_VOICE}::DOUBLE, 9) AS log2_a, sign FROM "
              "(SELECT *, count(*) OVER w AS k, CASE WHEN first(ordinate) OVER (PARTITION BY series, chain ORDER BY si) > 0 THEN 1 ELSE -1 END AS sign FROM cn WINDOW w AS (PARTITION BY series, chain)) WHERE k > 1"))
 def ridge_trace(spark, sf_dir):
@@ -389,6 +593,20 @@ def moments_chains(spark, sf_dir):
     return _moment_rows(chain_moments(spark, sf_dir))
 
 
+@query(with_(EVENTS_SEQ, select=f"SELECT series, q, si::INTEGER AS si, (-1)::INTEGER AS index_max, 0::BIGINT AS n_ext, -1.0::DOUBLE AS ln_stq, 0.0::DOUBLE AS log_stq, 0.0::DOUBLE AS ratio, 0.0::DOUBLE AS cross_, 1::BIGINT AS signal_number "
+             f"FROM (SELECT DISTINCT series FROM sig), unnest({Q_LIST!r}::DOUBLE[]) t(q), range({N_SCALES}) u(si)"))
+def moments_no_chain(spark, sf_dir):
+    """No chain is long enough: every series stays, with zeros."""
+    return _moment_rows(moments.partition_function(supped(spark, sf_dir), N_SCALES, Q_LIST, min_chain=N_SCALES + 1))
+
+
+@query(with_(*RAW, SQL_ENSEMBLE, select="SELECT series, q, si, round(log_stq / ln(2.0::DOUBLE) / k, 5) + 0.0 AS t, round(ratio / ln(2.0::DOUBLE) / k, 5) + 0.0 AS h, round((q * ratio - log_stq) / ln(2.0::DOUBLE) / k, 5) + 0.0 AS d FROM pe"))
+def moments_thd_intensive(spark, sf_dir):
+    rows = moments.ensemble(raw_moments(spark, sf_dir))
+    mode = "intensive"
+    return steady(rows.select("series", "q", "si", moments.value_t(mode).alias("t"), moments.value_h(mode).alias("h"), moments.value_d(mode).alias("d")), "t", "h", "d", digits=5)
+
+
 @query(with_(*RAW, SQL_ENSEMBLE, select="SELECT series, q, si, index_max, n_ext, k::BIGINT AS signal_number, round(log_stq, 4) + 0.0 AS log_stq, round(ratio, 4) + 0.0 AS ratio FROM pe"))
 def moments_ensemble(spark, sf_dir):
     rows = moments.ensemble(raw_moments(spark, sf_dir))
@@ -427,6 +645,15 @@ def spectrum_normalized(spark, sf_dir):
     return _spectrum(raw_moments(spark, sf_dir), normalize=True)
 
 
+@query(with_(*RAW, *sql_fits("(SELECT * FROM pf WHERE q <> 1)"), "tc AS (SELECT *, q * h - d AS tau FROM f1)",
+             "ti AS (SELECT series, max(CASE WHEN q = 0.5 THEN tau END) AS a, max(CASE WHEN q = 1.5 THEN tau END) AS b FROM tc GROUP BY series)",
+             select="SELECT tc.series, q, round(tau, 5) AS tau_q, round(h, 5) AS h_q, round(d, 5) AS d_q, round(a + (b - a) * 0.5, 5) AS tau_1, 'canonical' AS method FROM tc JOIN ti USING (series)"))
+def spectrum_without_one(spark, sf_dir):
+    """tau(1) between its neighbours where the list of q has no 1."""
+    without = [q for q in Q_LIST if q != 1]
+    return _spectrum(moments.partition_function(extrema(spark, sf_dir), N_SCALES, without, series=events_seq(spark, sf_dir)))
+
+
 @query(with_(*RAW, SQL_ENSEMBLE, *sql_fits("pe", False), select=_CANON))
 def spectrum_intensive(spark, sf_dir):
     return _spectrum(moments.ensemble(raw_moments(spark, sf_dir)), mode="intensive")
@@ -490,10 +717,30 @@ def tau_residual(spark, sf_dir):
     return grid.withColumn("residual", F.round(signals.tau_equation(F.col("tau"), F.col("q"), [0.4, 0.6], [0.3, 0.7]), 9) + F.lit(0.0))
 
 
-@query("SELECT q, round(ln(pow(0.3::DOUBLE, q) + pow(0.7::DOUBLE, q)) / ln(0.5::DOUBLE), 9) + 0.0 AS tau_q FROM (SELECT a / 2.0::DOUBLE AS q FROM range(-4, 9) t(a))")
-def theory_equal_r(spark, sf_dir):
+_THEORY = [
+    "hq AS (SELECT *, lag(tau) OVER w AS t0, lead(tau) OVER w AS t1 FROM tq WINDOW w AS (ORDER BY q))",
+    "hd AS (SELECT q, tau, CASE WHEN t0 IS NULL THEN (t1 - tau) / 0.5 WHEN t1 IS NULL THEN (tau - t0) / 0.5 ELSE t1 - t0 END AS h FROM hq)",
+]
+_THEORY_ROWS = "SELECT q, round(tau, 8) + 0.0 AS tau_q, round(h, 8) + 0.0 AS h_q, round(q * h - tau, 8) + 0.0 AS d_q FROM hd"
+
+
+def _theory(spark, r, p, expo=-1.0) -> DataFrame:
     qs = spark.range(-4, 9).select((F.col("id") / 2.0).alias("q"))
-    return spectra.theoretical_spectrum(qs, *CASCADE[1:]).select("q", (F.round("tau_q", 9) + F.lit(0.0)).alias("tau_q"))
+    return steady(spectra.theoretical_spectrum(qs, r, p, expo), "tau_q", "h_q", "d_q", digits=8)
+
+
+@query(with_("tq AS (SELECT a / 2.0::DOUBLE AS q, ln(pow(0.3::DOUBLE, a / 2.0::DOUBLE) + pow(0.7::DOUBLE, a / 2.0::DOUBLE)) / ln(0.5::DOUBLE) AS tau FROM range(-4, 9) t(a))", *_THEORY, select=_THEORY_ROWS))
+def theory_equal_r(spark, sf_dir):
+    return _theory(spark, *CASCADE[1:])
+
+
+@query(with_(
+    "bs AS (SELECT a / 2.0::DOUBLE AS q, -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, 0 AS step FROM range(-4, 9) t(a) UNION ALL "
+    "SELECT q, CASE WHEN up THEN lo ELSE (lo + hi) / 2 END, CASE WHEN up THEN (lo + hi) / 2 ELSE hi END, step + 1 FROM (SELECT *, pow(0.3::DOUBLE, q) * pow(0.4::DOUBLE, -(lo + hi) / 2) + pow(0.7::DOUBLE, q) * pow(0.6::DOUBLE, -(lo + hi) / 2) > 1 AS up FROM bs WHERE step < 60))",
+    "tq AS (SELECT q, (lo + hi) / 2 + 1.5 * q AS tau FROM bs WHERE step = 60)", *_THEORY, select=_THEORY_ROWS))
+def theory_unequal_r(spark, sf_dir):
+    """Parts of different lengths, at another exponent."""
+    return _theory(spark, [0.4, 0.6], [0.3, 0.7], 0.5)
 
 
 # --- pixels and colours -----------------------------------------------------------------------------------
@@ -512,13 +759,33 @@ def _pixels(norm):
 for _key, _norm, _v in (
     ("pixels_lglobal", "lglobal", f"abs(w) / coalesce(nullif(max(CASE WHEN {_IN} THEN abs(w) END) OVER (PARTITION BY series, si), 0), 1)"),
     ("pixels_global", "global", "abs(w) / coalesce(nullif(max(abs(w)) OVER (PARTITION BY series), 0), 1)"),
-    ("pixels_signed", "signedglobal", "(w + max(abs(w)) OVER (PARTITION BY series)) / (2 * max(abs(w)) OVER (PARTITION BY series))"),
+    ("pixels_signed", "signedglobal", "coalesce((w + max(abs(w)) OVER (PARTITION BY series)) / nullif(2 * max(abs(w)) OVER (PARTITION BY series), 0), w)"),
 ):
     _f = _pixels(_norm)
     _f.__name__ = _key
     query(with_(EVENTS_SEQ, *sql_cwt(), select=_PX.format(v=_v)))(_f)
 
 
+_HUE_TABLE = """(SELECT level, v - v * greatest(0, least(1, least((5 + h6) % 6, 4 - (5 + h6) % 6))) AS r, v - v * greatest(0, least(1, least((3 + h6) % 6, 4 - (3 + h6) % 6))) AS g,
+  v - v * greatest(0, least(1, least((1 + h6) % 6, 4 - (1 + h6) % 6))) AS b FROM (SELECT i::INTEGER AS level, (1 - i / 255.0::DOUBLE) * 4.5 AS h6, pow(i / 255.0::DOUBLE, 0.3) AS v FROM range(256) t(i)))"""
+
+
+@query(with_(EVENTS_SEQ, *sql_cwt(), "pv AS (SELECT *, greatest(0, least(1, (w + 40) / 100)) AS v FROM cw)", "pw AS (SELECT *, least(255, floor(round(v * 256, 9)))::INTEGER AS level FROM pv)",
+             select=f"SELECT series, si, pos, pw.level, NOT ({_IN}) AS masked, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(b, 6) + 0.0 AS b FROM pw JOIN {_HUE_TABLE} h ON h.level = pw.level"))
+def pixels_painted(spark, sf_dir):
+    """Levels and colours between given limits."""
+    rows = pixels.painted(pixels.pixels(coefficients(spark, sf_dir), signed=True, vlim=(-40.0, 60.0)))
+    return steady(rows, "r", "g", "b", digits=6).select("series", "si", "pos", "level", "masked", "r", "g", "b")
+
+
+@query("SELECT k AS kind, i AS pos, CASE WHEN k = 'zeros' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0, i - 3)) END AS v FROM (SELECT unnest(['zeros', 'equal']) AS k), range(8) t(i)")
+def pixels_flat(spark, sf_dir):
+    """A series of zeros, and two equal limits: the upper one moves up by 1."""
+    rows = spark.range(8).select(F.lit("s").alias("series"), F.lit(0).alias("si"), F.lit(1.0).alias("a"), F.col("id").alias("pos"), F.col("id").cast("double").alias("w"), F.lit(0).cast("long").alias("firstp"), F.lit(7).cast("long").alias("lastp"))
+    zeros = pixels.pixels(rows.withColumn("w", F.lit(0.0)), signed=True).select(F.lit("zeros").alias("kind"), "pos", "v")
+    return zeros.unionByName(pixels.pixels(rows, signed=True, vlim=(3.0, 3.0)).select(F.lit("equal").alias("kind"), "pos", "v"))
+
+
 @query(with_(EVENTS_SEQ, *sql_cwt(), select="SELECT series, min(pos) AS x_lo, max(pos) AS x_hi, round(min(log2(a)) - 0.125, 9) AS y_lo, round(max(log2(a)) + 0.125, 9) AS y_hi FROM cw GROUP BY series"))
 def pixels_extent(spark, sf_dir):
     return steady(pixels.extent(coefficients(spark, sf_dir)), "y_lo", "y_hi")

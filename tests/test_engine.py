@@ -32,7 +32,7 @@ def test_impulse_shows_orientation(spark):
 @pytest.mark.parametrize("name", ["g1", "g2", "bspline3", "db3"])
 def test_plans_agree(spark, preset, name):
     x = np.random.default_rng(3).standard_normal(160)
-    plans = [transform.cwt(series(spark, x), 1.0, 1, 3, name, preset=preset, plan=p).orderBy("si", "pos").toPandas() for p in ("arrow", "join", "arrays")]
+    plans = [transform.cwt(series(spark, x), 1.0, 1, 3, name, preset=preset, plan=p).orderBy("si", "pos").toPandas() for p in ("chunks", "arrow", "join", "arrays")]
     for other in plans[1:]:
         assert np.allclose(plans[0]["w"], other["w"], atol=1e-10)
         assert (plans[0][["firstp", "lastp"]].to_numpy() == other[["firstp", "lastp"]].to_numpy()).all()
@@ -45,6 +45,71 @@ def test_long_filters_go_through_fourier():
     assert len(taps) > 256 and np.allclose(y, np.convolve(wide, taps, "valid") / 20.0, atol=1e-9)
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 1000])
+@pytest.mark.parametrize("preset", ["direct", "overlap_save"])
+def test_chunks_equal_whole_series(spark, monkeypatch, chunk, preset):
+    # pieces shorter and longer than the filters, series that end anywhere in them
+    monkeypatch.setattr(transform, "CHUNK", chunk)
+    r = np.random.default_rng(4)
+    rows = [(name, i, float(v)) for name, n in (("a", 300), ("b", 128), ("c", 97)) for i, v in enumerate(r.standard_normal(n))]
+    df = spark.createDataFrame(rows, "series string, pos long, x double")
+    one, other = (transform.cwt(df, 1.0, 1, 3, "g2", preset=preset, plan=p).orderBy("series", "si", "pos").toPandas() for p in ("chunks", "arrow"))
+    assert len(one) == len(other) == 3 * (300 + 128 + 97) and np.allclose(one["w"], other["w"], atol=1e-9, equal_nan=True)
+    assert one[["series", "si", "pos", "firstp", "lastp"]].equals(other[["series", "si", "pos", "firstp", "lastp"]])
+
+
+def test_long_series_over_many_tasks(spark):
+    df = spark.range(1_000_000).select(F.lit("s").alias("series"), F.col("id").alias("pos"), F.sin(F.col("id") / 50.0).alias("x"))
+    got = transform.cwt(df, 4.0, 1, 1, "g2").where("pos % 1000 = 500").orderBy("pos").toPandas()
+    x = np.sin(np.arange(2000) / 50.0)
+    want = transform.transform_one(x, 4.0, "g2", -1.0, "convolve", "reflect")
+    assert len(got) == 1000 and np.allclose(got["w"].iloc[:2], want[[500, 1500]], atol=1e-9)
+
+
+def test_short_series_are_null_or_an_error(spark):
+    df = series(spark, [1.0] * 20, "short").unionByName(series(spark, [1.0] * 200, "long"))
+    for plan in ("chunks", "arrow"):
+        rows = transform.cwt(df, 1.0, 1, 1, "g2", plan=plan).toPandas()
+        assert rows[rows.series == "short"]["w"].isna().all() and rows[rows.series == "long"]["w"].notna().all()
+        with pytest.raises(Exception, match="filter of"):
+            transform.cwt(df, 1.0, 1, 1, "g2", plan=plan, short="raise").collect()
+
+
+def test_series_without_maxima_stay(spark):
+    kept = spark.createDataFrame([("a", s, 0, 0.0, 1.0, 0, None, None, 0) for s in range(3)] + [("b", 0, 0, 0.0, 1.0, 0, None, None, 0)], ridges.LINKED)
+    everyone = spark.createDataFrame([("a",), ("b",), ("c",)], "series string")
+    rows = moments.partition_function(kept, 3, [1.0], min_chain=2, series=everyone).toPandas()
+    assert rows.groupby("series")["index_max"].first().to_dict() == {"a": 2, "b": -1, "c": -1} and rows[rows.series != "a"]["stq"].eq(0).all()
+    total = moments.ensemble(moments.partition_function(kept, 3, [1.0], min_chain=2)).toPandas()
+    assert total["signal_number"].eq(2).all() and total["index_max"].eq(-1).all()
+
+
+def test_images(spark):
+    c = spark.createDataFrame([("s", si, 1.0, i, float(i), 1, 3) for si in range(2) for i in range(5)], transform.COEFFICIENTS)
+    (row,) = pixels.images(pixels.painted(pixels.pixels(c))).collect()
+    assert (row.width, row.height) == (5, 2) and bytes(row.png[:4]) == b"\x89PNG"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-6, 6), min_size=0, max_size=40), st.sampled_from([0.0, 0.05, 0.2]))
+def test_scan_equals_the_plain_loop(y, epsilon):
+    y = np.array(y, dtype=float)
+    n, want, i = len(y), [], 1
+    allowed = epsilon * math.sqrt(float((y**2).sum()))
+    while i < n - 3:
+        j = i + 1
+        while j < n and max(y[i : j + 1]) - min(y[i : j + 1]) <= allowed:
+            j += 1
+        if j >= n:
+            break
+        low, high = y[i:j].min(), y[i:j].max()
+        v = high if high >= 0 else low
+        if low * high > 0 and (v > 0 and v > y[i - 1] and v > y[j] or v < 0 and v < y[i - 1] and v < y[j]):
+            want.append((i, j - 1))
+        i = j
+    assert [(i, e) for i, e, *_ in maxima.scan(y, epsilon, 0, n - 1)] == want
+
+
 def test_too_short_and_unknown_arguments(spark):
     with pytest.raises(ValueError):
         transform.transform_one(np.zeros(10), 1.0, "g2", -1.0, "convolve", "reflect")
@@ -92,7 +157,7 @@ def test_compact_filters():
             assert abs(np.dot(low[2 * k :], low[: -2 * k])) < 1e-8
         t, psi = W.cascade(low, 8, "standard")
         assert abs((psi.sum()) * (t[1] - t[0])) < 1e-6
-    t, psi = W.cascade(W.daubechies(2), 8, "reference")
+    t, psi = W.cascade(W.daubechies(2), 8, "aliased")
     assert (np.diff(np.sign(psi[np.abs(psi) > 1e-6])) != 0).mean() > 0.9
 
 
