@@ -1,23 +1,26 @@
 """Exact top-k by inner product, by three phases with a uniform threshold.
 
 A vector's dimensions are cut into LISTS groups; each group is one score list of
-partial products. Phase 1 gathers, for each query and list, the best entries of
-each block of candidates, and scores those exactly: the k-th best exact score of
-a query is a safe cutoff t. Phase 2 sends t to every block, which collects the
-entries whose partial product in some list reaches t / LISTS: an entry below
-that in all lists sums to less than t. Phase 3 takes the entries whose bound
-(known partials, t / LISTS for the others) reaches t, scores the rest of their
-lists exactly and ranks them.
-
-Candidates and queries are packed into blocks of vectors; each pair of blocks is
-one row of an equi-join on the block's number, so no task holds more than a
-pair and nothing is broadcast. What is shuffled is the queries once per block
-of candidates. Per query and block at most k entries leave a task.
+partial products. Phase 1 opens the first list alone: each block of candidates gives,
+for each query, its best entries of that list, and scores only those exactly. The
+k-th best exact score of a query over all blocks is a safe cutoff t. Phase 2 sends t to
+every block, which opens its lists one after another: an entry stays in as long as its
+known partials, with the most that the lists not yet opened can add (by Cauchy and
+Schwarz the product of the norms), reach t. A block whose greatest norms can't
+reach t for a query is not opened for it. Phase 3 resolves the remaining lists of
+the few entries left exactly and ranks them. Once fewer than a quarter of a block's
+entries are in, lists are evaluated for those alone.
+
+Candidates and queries are dealt to blocks by a hash of vec_id, so rows of one id are in
+one block; each pair of blocks is one row of an equi-join on the block's number, so
+no task holds more than a pair and nothing is broadcast. What is shuffled is the
+queries once per block of candidates. Per query and block at most k entries leave a task.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without vec_id; missing trailing components
-count as 0; ties go to the smaller vec_id; repeated rows are candidates each,
-and all rows with a query's vec_id are its own; an empty table gives no rows."""
+count as 0; ties go to the smaller vec_id; rows of one vec_id are one query and
+one candidate, whose score is the best over their vectors; an empty table gives no
+rows; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_columns, save
+from .common import arrow_groups, input_columns, save
 
-LISTS = 4
+LISTS = 8
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 #: Queries scored at once within a pair of blocks.
 ROWS_AT_ONCE = 256
+#: Share of the entries still in from which on a list is evaluated for all of them.
+DENSE = 0.25
 
 
 def scaled(vectors: DataFrame, factor: int = 256) -> DataFrame:
@@ -42,31 +47,21 @@ def scaled(vectors: DataFrame, factor: int = 256) -> DataFrame:
     return rows.where(F.coalesce(usable, F.lit(False))).select("vec_id", x.alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(block, width, ids, values): blocks of at most `size` vectors each, as binaries of int64."""
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """(block, width, ids, values): blocks of about `size` vectors each, as binaries of int64, and their number."""
+    count = max(1, -(-rows.count() // size))
+    dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("long").alias("block")).repartition("block").sortWithinPartitions("block", "vec_id")
 
     def build(batches):
-        held: list = []
+        for (block,), t in arrow_groups(batches, ["block"]):
+            ids, vectors = t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
+            off = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+            sizes = np.diff(off)
+            m = np.zeros((len(ids), int(sizes.max())), dtype="<i8")
+            m[np.repeat(np.arange(len(ids)), sizes), np.arange(off[-1]) - np.repeat(off[:-1], sizes)] = vectors.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([m.shape[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "width", "ids", "values"])
 
-        def flush():
-            ids = np.array([i for i, _ in held], dtype="<i8")
-            width = max(len(v) for _, v in held)
-            m = np.zeros((len(held), width), dtype="<i8")
-            for k, (_, v) in enumerate(held):
-                m[k, : len(v)] = v
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["width", "ids", "values"])
-
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
-                held.append((i, v.values.to_numpy(zero_copy_only=False)))
-                if len(held) == size:
-                    yield flush()
-        if held:
-            yield flush()
-
-    packed = rows.mapInArrow(build, "width int, ids binary, values binary")
-    return save(packed.withColumn("block", F.monotonically_increasing_id()), name)
+    return save(dealt.mapInArrow(build, "block long, width int, ids binary, values binary"), name), count
 
 
 def _matrix(width: int, ids: bytes, values: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,15 +86,44 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return score >= np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
 
 
+def survivors(q: np.ndarray, c: np.ndarray, limits: np.ndarray, other: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(rows, columns, exact scores) of the entries that reach their row's limit, and how many entries had all their lists opened."""
+    norm = lambda m, x: np.sqrt((m[:, x:].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6
+    open_rows = np.flatnonzero(norm(q, 0) * norm(c, 0).max(initial=0) >= limits)
+    known = np.zeros((len(open_rows), len(c)), dtype=np.int64)
+    alive = other[open_rows]
+    rows = cols = None
+    for x, y in zip(edges, edges[1:]):
+        if rows is None:
+            known += _product(q[open_rows, x:y], c[:, x:y])
+            most = np.multiply.outer(norm(q[open_rows], y), norm(c, y))
+            alive &= known + most >= limits[open_rows, None]
+            if alive.mean() < DENSE or y == edges[-1]:
+                rows, cols = np.nonzero(alive)
+                score = known[rows, cols]
+                rows = open_rows[rows]
+        else:
+            score = score + _exact(q[:, x:y], c[:, x:y], rows, cols)
+            fine = score + norm(q, y)[rows] * norm(c, y)[cols] >= limits[rows]
+            rows, cols, score = rows[fine], cols[fine], score[fine]
+    if rows is None:
+        return (np.zeros(0, np.int64),) * 3 + (0,)
+    return rows, cols, score, len(rows)
+
+
 def _exact(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.concatenate([np.einsum("ij,ij->i", q[rows[s : s + 65536]], c[cols[s : s + 65536]]) for s in range(0, len(rows), 65536)] or [np.zeros(0, np.int64)])
 
 
 def _top(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k best entries of each row; ties to the smaller id."""
-    order = np.lexsort((ids, -score, rows))
-    first = np.searchsorted(rows[order], rows[order], side="left")
-    return order[np.arange(len(order)) - first < k]
+    """Indexes of the k best ids of each row, each id once; ties to the smaller id."""
+    order = np.lexsort((-score, ids, rows))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (rows[order][1:] != rows[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    best = order[first]
+    order = best[np.lexsort((ids[best], -score[best], rows[best]))]
+    begin = np.searchsorted(rows[order], rows[order], side="left")
+    return order[np.arange(len(order)) - begin < k]
 
 
 def _score_pairs(pairs: DataFrame, k: int, cutoff: bool) -> DataFrame:
@@ -116,24 +140,17 @@ def _score_pairs(pairs: DataFrame, k: int, cutoff: bool) -> DataFrame:
                 limits = np.frombuffer(get("limits"), dtype="<i8") if cutoff else None
                 edges = np.linspace(0, least, LISTS + 1).astype(int)
                 for s in range(0, len(q_ids), ROWS_AT_ONCE):
-                    own = q[s : s + ROWS_AT_ONCE]
-                    partial = [_product(own[:, x:y], c[:, x:y]) for x, y in zip(edges, edges[1:])]
-                    other = q_ids[s : s + ROWS_AT_ONCE, None] != ids[None, :]
+                    own, own_ids = q[s : s + ROWS_AT_ONCE], q_ids[s : s + ROWS_AT_ONCE]
+                    other = own_ids[:, None] != ids[None, :]
                     if limits is None:
-                        hit = np.zeros(other.shape, dtype=bool)
-                        for p in partial:
-                            hit |= _best(np.where(other, p, np.iinfo(np.int64).min), k)
+                        first = _product(own[:, : edges[1]], c[:, : edges[1]])
+                        rows, cols = np.nonzero(_best(np.where(other, first, np.iinfo(np.int64).min), k) & other)
+                        score = _exact(own, c, rows, cols)
                     else:
-                        # t / LISTS as an integer: a sum of LISTS values below it is below t
-                        share = -((-limits[s : s + ROWS_AT_ONCE]) // LISTS)[:, None]
-                        known = [p >= share for p in partial]
-                        hit = known[0] | known[1] | known[2] | known[3]
-                        bound = sum(np.where(m, p, share) for m, p in zip(known, partial))
-                        hit &= bound >= limits[s : s + ROWS_AT_ONCE, None]
-                    rows, cols = np.nonzero(hit & other)
-                    score = _exact(own, c, rows, cols)
-                    keep = _top(rows, ids[cols], score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[s : s + ROWS_AT_ONCE][rows[keep]]), pa.array(ids[cols[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                        rows, cols, score, _ = survivors(own, c, limits[s : s + ROWS_AT_ONCE], other, edges)
+                    # rows of one vec_id are one query: numbered by their ids
+                    keep = _top(own_ids[rows], ids[cols], score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own_ids[rows[keep]]), pa.array(ids[cols[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(build, "query_id long, vec_id long, score long")
 
@@ -162,20 +179,19 @@ def _with_limits(queries: DataFrame, limits: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, the rows whose vec_id is divisible by `every`."""
     rows = scaled(vectors)
-    candidates = _blocks(rows, CANDIDATE_BLOCK, "topk-candidates")
-    queries = _blocks(rows.where(F.pmod("vec_id", F.lit(every)) == 0), QUERY_BLOCK, "topk-queries")
+    candidates, count = _blocks(rows, CANDIDATE_BLOCK, "topk-candidates")
+    queries, _ = _blocks(rows.where(F.pmod("vec_id", F.lit(every)) == 0), QUERY_BLOCK, "topk-queries")
 
     def pairs(queries: DataFrame) -> DataFrame:
-        """Every block of queries beside every block of candidates: each block of queries carries the list of the others' numbers."""
-        numbers = candidates.agg(F.collect_list("block").alias("withs"), F.lit(0).alias("all"))
+        """The queries, block by block, beside every block of candidates."""
         q = queries.select([F.col(n).alias(f"q_{n}" if n in ("width", "ids", "values") else n) for n in queries.columns if n != "block"])
-        many = q.withColumn("all", F.lit(0)).join(numbers, "all").withColumn("block", F.explode("withs")).drop("withs", "all")
-        return many.join(candidates, "block")
+        return q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(candidates, "block")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
-    first = _score_pairs(pairs(queries), k, False)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    limits = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("t"))
-    limits = save(limits.groupBy("query_id").agg(F.min("t").alias("t")), "topk-limits")
+    first = ranked(_score_pairs(pairs(queries), k, False))
+    limits = save(first.where(F.col("rank") == k).select("query_id", F.col("score").alias("t")), "topk-limits")
     found = _score_pairs(pairs(save(_with_limits(queries, limits), "topk-limited")), k, True)
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked(found).select("query_id", "rank", "vec_id", "score")

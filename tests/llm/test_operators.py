@@ -142,12 +142,32 @@ def test_op3(spark):
     rows = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").withColumn("host", F.lit(1))).collect()}
     assert [rows[i].rule for i in range(10)] == [None, None, None, "example.net/en/", "org/fr/", None, "example.com/de/", None, "net/", None]
     assert rows[3].host == "a.example.net" and rows[3].path == "/en/1" and rows[0].host == "" and rows[9].template.endswith(".html")
-    shop = [(i, f"http://s.com/bad/{i}") for i in range(40)] + [(100 + i, f"http://s.com/ok/{i}") for i in range(40)]
-    got = urls.judge_urls(spark.createDataFrame(shop, "page_id long, url string"), [("s.com", "/bad/1", "block"), ("s.com", "/bad/2", "block"), ("s.com", "/ok/1", "allow")]).collect()
-    assert {r.verdict for r in got if r.page_id < 100} == {"block"} and {r.verdict for r in got if r.page_id >= 100} == {"allow"}
+    rules = [("s.com", "/bad/1", "block"), ("s.com", "/ok/1", "allow"), ("s.com", "/ok/2", "allow"), ("t.com", "/a/x/", "block"), ("u.com", "/en/", "block"), ("u.com", "/fr/", "allow")]
+    # a branch with bad labels and one with good ones are told apart, at any depth
+    shop = [f"http://s.com/{branch}/{i}" for branch in ("bad", "ok") for i in range(40)]
+    # planted: unlabelled siblings of a bad branch are judged like it, several levels down
+    deep = [f"http://t.com/a/{x}/b/c/d/e/f/g/{i}.html" for x in "xyz" for i in range(20)]
+    # siblings that disagree leave a third one open; a host without labels is allowed
+    open_ = [f"http://u.com/{x}/{i}" for x in ("en", "fr", "de") for i in range(30)] + [f"http://v.com/{i}" for i in range(30)]
+    given = [*shop, *deep, *open_, *open_[:3], "http://w.com/" + "long/" * 3000]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)], "page_id long, url string, host string")
+    got = {given[r.page_id]: r for r in urls.judge_urls(df, rules).collect()}
+    assert {got[u].verdict for u in shop[:40]} == {"block"} and {got[u].verdict for u in shop[40:]} == {"allow"}
+    assert {got[u].verdict for u in deep} == {"block"} and len({got[u].template for u in deep}) == 3 and all(got[u].rule is None for u in deep[20:])
+    assert {got[u].verdict for u in open_ if "/en/" in u} == {"block"} and {got[u].verdict for u in open_ if "u.com/fr/" in u or "v.com" in u} == {"allow"}
+    assert got[given[-1]].verdict == "allow" and len(got[given[-1]].template) > 14_000
+    assert urls.judge_urls(df).count() == len(given)
+    # names that vary are one template
+    names = [(i, f"http://n.com/user/{''.join(random.Random(i).choices('abcdef', k=9))}") for i in range(30)]
+    assert {r.template for r in urls.judge_urls(spark.createDataFrame(names, "page_id long, url string")).collect()} == {"/user/*"}
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_op3_blocks_pages_without_a_rule(spark):
+    rows = urls.judge_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in rows} == {"allow", "block"}
+
+
 def test_op4_edges_and_ties(spark):
     rows = [(0, [0.5, -0.25]), (50, [1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, []), (7, [1e7, -1e7]), (None, [1.0]), (8, [-3.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -159,6 +179,23 @@ def test_op4_edges_and_ties(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.top_k(df, 50, 3).collect())) == sorted(want)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    # rows of one id are one query and one candidate
+    twice = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.5, 0.0]), (1, [0.25, 0.75]), (2, [0.0, 0.5]), (2, [0.0, 0.5])]
+    got = topk.top_k(spark.createDataFrame(twice, "vec_id long, embedding array<double>").withColumn("block", F.lit("b")).withColumn("score", F.lit(1)), 50, 3).collect()
+    assert sorted(map(tuple, got)) == [(50, 1, 1, 192 * 256), (50, 2, 2, 128 * 256)]
+
+
+def test_op4_prunes(spark):
+    e = np.array([r.v for r in topk.scaled(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").collect()], dtype=np.int64)
+    q, other = e[::50], np.ones((len(e[::50]), len(e)), dtype=bool)
+    other[np.arange(len(q)), np.arange(len(q)) * 50] = False
+    score = np.where(other, q @ e.T, np.iinfo(np.int64).min)
+    limits = np.sort(score, axis=1)[:, -5]
+    rows, cols, found, opened = topk.survivors(q, e, limits, other, np.linspace(0, 64, topk.LISTS + 1).astype(int))
+    assert opened < 0.05 * score.size
+    best = topk._top(rows, cols, found, 5)
+    want = sorted((i, j) for i in range(len(q)) for j in np.lexsort((np.arange(len(e)), -score[i].astype(float)))[:5])
+    assert sorted(zip(rows[best].tolist(), cols[best].tolist())) == [(i, int(j)) for i, j in want] and (found == score[rows, cols]).all()
 
 
 def test_op5_pages():
