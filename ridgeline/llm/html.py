@@ -1,18 +1,28 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is read as a stream of tags and text (no tree is built). Text falls into
-blocks, one per stretch between block-level tags, and each block has the path of
-block-level tags from the root. Per path the page's text length, punctuation and
-link text are added up; a path's ratio is smoothed with those of its parents; the
-fused score picks the container that holds most of the content and other paths of
-similar score. All blocks below the lowest container that holds them, or below the
-article or main element around it, are the main text. Menus, headers,
-footers, asides, forms, scripts and the like, and elements whose class, id or role
-name such a part, are left out before.
+A page is read as a stream of tags and text. Text falls into blocks, one per
+stretch between block-level tags. A block's tag path is the names of the
+block-level tags from the root to it; equal paths are one, wherever on the page they
+occur. For each path the text length outside links and the punctuation are added up
+over its blocks and divided by their number. Both ratios are smoothed over the
+paths in the order of the page, fused as their geometric mean, and paths that reach
+SIMILAR of the greatest one are content.
+
+The main text is all of one element: the article or main that holds HOLDS of the
+content, else the lowest element that holds all blocks of content paths that are
+not short beside them. Nothing below it is dropped but parts that are none of the
+article: by their tags or roles everywhere; by words in class or id (comments,
+adverts, sidebars and the like) outright where a word can mean nothing else, and for
+words that may be the article's own (related, share, notice) only where
+the element's text agrees, being mostly links or short pieces.
+
+Elements are numbered as they open and know their parent, so sums run over them once,
+however deep they are nested.
 
 Defined results: null or empty html has empty text; a page without content
 has empty text; markup that is cut off or badly nested is read as far as it
-goes; repeated rows are independent; extra columns are ignored."""
+goes, and a quotation mark that is never closed ends with its tag; repeated rows
+are independent; very long pages are read whole; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -33,167 +43,206 @@ BLOCK = frozenset(
 )
 LEFT_OUT = frozenset("head title nav footer aside form button select option menu dialog fieldset legend input label search".split())
 CLOSES_P = BLOCK - frozenset("body head html option optgroup td th tr tbody thead tfoot".split())
-PART_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended comment comments comentarios kommentare commentaires reply replies respond discussion disqus footer header masthead pagination pager widget toolbar".split()
+# words that name a part wherever they stand, and those that may be the article's own
+PARTS = frozenset("ad ads advert adverts advertisement advertising sponsored sidebar sidenav comment comments comentarios kommentare commentaires disqus cookie cookies consent gdpr newsletter popup modal breadcrumb breadcrumbs".split())
+MAYBE_PARTS = frozenset(
+    "sponsor promo promotion banner menu nav navbar navigation notice notices alert overlay subscribe subscription signup login share sharing social related "
+    "recommended reply replies respond discussion footer header masthead pagination pager widget toolbar".split()
 )
 PART_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW_TEXT)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
-#: Share of the content that the chosen container must hold, and of its score that other paths need.
+#: Share of the content that one article must hold, and of the greatest score that content paths need.
 HOLDS, SIMILAR = 0.5, 0.5
+#: An element that may be a part is one where links are this share of its text, or its blocks are shorter on average.
+LINKED, SHORT = 0.3, 40
+# how an open element of one kind ends at the next: those it closes, and those it doesn't reach beyond
+_CLOSES = {
+    "p": (("p",), BLOCK - {"p"}), "li": (("li",), frozenset(("ul", "ol", "menu"))), "dt": (("dt", "dd"), frozenset(("dl",))),
+    "tr": (("tr",), frozenset(("table",))), "td": (("td", "th"), frozenset(("tr", "table"))), "body": (("head",), frozenset()),
+}
+_CLOSES |= {"dd": _CLOSES["dt"], "th": _CLOSES["td"]}
+
+
+class Page:
+    """Blocks and elements of a page; elements are numbered as they open, so a parent comes before its children."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.maybe = [-1], [""], [False]
+        self.path = [0]  # of each element; equal paths have one number
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str, int]] = []  # element, raw text, length of links
+        self._open: list[tuple[str, bool, int]] = []  # tag, whether left out, element
+        self._count: dict[str, int] = {}
+        self._hidden = self._links = self._linked = 0
+        self._text: list[str] = []
+        self._element = self._where = 0
+        at = 0
+        for m in _TOKEN.finditer(page):
+            self._take(page[at : m.start()])
+            at = m.end()
+            tag = m["tag"] or m["tag2"]
+            if tag:
+                self._tag(tag.lower(), bool(m["end"] or m["end2"]), m["rest"] if m["tag"] else m["rest2"])
+            elif m[0].startswith("<![CDATA["):
+                self._take(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        self._take(page[at:])
+        self._end_block()
+
+    def _take(self, piece: str) -> None:
+        if piece and not self._hidden:
+            if not self._text:
+                self._where = self._element
+            self._text.append(piece)
+            if self._links:
+                self._linked += len(piece)
+
+    def _end_block(self) -> None:
+        if self._text:
+            self.blocks.append((self._where, "".join(self._text), self._linked))
+            self._text, self._linked = [], 0
 
+    def _close(self, index: int) -> None:
+        for tag, part, element in reversed(self._open[index:]):
+            self._hidden -= part
+            self._links -= tag == "a"
+            self._count[tag] -= 1
+            if element:
+                self._element = self.parent[element]
+        del self._open[index:]
 
-def _left_out(tag: str, rest: str, stack: list) -> bool:
-    if tag in LEFT_OUT:
-        return True
-    if tag == "header":
-        return not any(t in ("article", "main") for t, _ in stack)
-    if "=" not in rest and "hidden" not in rest:
-        return False
-    for m in _ATTRIBUTE.finditer(rest):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in PART_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(w.lower() in PART_WORDS for w in _PARTS.split(value)):
-                return True
-    return False
-
-
-def blocks(page: str):
-    """(path, text, link text length) of each block outside the parts left out; path is a tuple of block-level tags."""
-    stack: list[tuple[str, bool]] = []  # tag, and whether it opens a part left out
-    hidden, links = 0, 0
-    path: tuple = ()
-    text: list[str] = []
-    linked, at = 0, 0
-    where: tuple = ()
-    serial = 0
-
-    def take(piece: str) -> None:
-        nonlocal linked, where
-        if piece and not hidden:
-            if not text:
-                where = path
-            text.append(piece)
-            if links:
-                linked += len(piece)
-
-    def close(index: int) -> None:
-        nonlocal hidden, links, path
-        for t, part in reversed(stack[index:]):
-            hidden -= part
-            links -= t == "a"
-            if t in BLOCK:
-                path = path[:-1]
-        del stack[index:]
-
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                take(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = tag.lower()
+    def _close_last(self, tags, stop) -> None:
+        """Close the innermost open element of these tags, unless one of `stop` is in between."""
+        if not any(self._count.get(t) for t in tags):
+            return
+        for i in range(len(self._open) - 1, -1, -1):
+            tag = self._open[i][0]
+            if tag in tags:
+                return self._close(i)
+            if tag in stop:
+                return None
+
+    def _tag(self, tag: str, end: bool, rest: str) -> None:
         block = tag in BLOCK
-        if block and text:
-            yield where, "".join(text), linked
-            text, linked = [], 0
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if not block and stack[i][0] in BLOCK:
-                    break
-            continue
-        if tag in VOID:
-            take(" " if tag in ("br", "wbr", "hr", "img", "input") and tag != "wbr" else "")
-            continue
-        for closes, upto in ((tag in CLOSES_P and "p", ("p",)), (tag == "li" and "li", ("li",)), (tag in ("dt", "dd") and "d", ("dt", "dd")), (tag in ("tr",) and "tr", ("tr",)), (tag in ("td", "th") and "td", ("td", "th")), (tag == "body" and "head", ("head",))):
-            if closes:
-                stop = {"p": ("article", "section", "div", "td", "li", "body", "blockquote", "aside", "main"), "li": ("ul", "ol", "menu"), "d": ("dl",), "tr": ("table",), "td": ("tr", "table"), "head": ()}[closes]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in upto:
-                        close(i)
-                        break
-                    if stack[i][0] in stop:
-                        break
-        part = _left_out(tag, m["rest"], stack)
-        stack.append((tag, part))
-        hidden += part
-        links += tag == "a"
         if block:
-            if tag in ("div", "section", "article", "main"):
-                serial += 1
-                path = (*path, f"{tag}{serial}" if tag != "article" else tag)
-            else:
-                path = (*path, tag)
-        if m["rest"].rstrip().endswith("/") and tag not in BLOCK and tag != "a":
-            close(len(stack) - 1)
-    take(page[at:])
-    if text:
-        yield where, "".join(text), linked
-
-
-def _container(path: tuple) -> tuple:
-    """The path up to its innermost article or main, else its innermost container: a leaf such as p belongs with its siblings."""
-    for kinds in (("article", "main"), ("body", "html", "td", "div", "section")):
-        for n in range(len(path), 0, -1):
-            if path[n - 1].startswith(kinds):
-                return path[:n]
-    return ()
+            self._end_block()
+        if end:
+            return self._close_last((tag,), frozenset() if block else BLOCK)
+        if tag in VOID:
+            return self._take(" " if tag in ("br", "hr", "img", "input") else "")
+        if tag in CLOSES_P:
+            self._close_last(*_CLOSES["p"])
+        if tag in _CLOSES and tag != "p":
+            self._close_last(*_CLOSES[tag])
+        inside = bool(self._count.get("article") or self._count.get("main"))
+        part, maybe = _part(tag, rest, inside)
+        if block or maybe:
+            number = len(self.parent)
+            self.parent.append(self._element)
+            self.tag.append(tag)
+            self.maybe.append(maybe)
+            above = self.path[self._element]
+            self.path.append(self.paths.setdefault((above, tag), len(self.paths) + 1) if block else above)
+            self._element = number
+        else:
+            number = 0
+        self._open.append((tag, part, number))
+        self._count[tag] = self._count.get(tag, 0) + 1
+        self._hidden += part
+        self._links += tag == "a"
+        if rest.rstrip().endswith("/") and not block and tag != "a":
+            self._close(len(self._open) - 1)
+
+
+def _part(tag: str, rest: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is a part to leave out, and whether it may be one; inside an article only its text can tell."""
+    if tag in LEFT_OUT or tag == "header" and not inside:
+        return True, False
+    maybe = False
+    if "=" in rest or "hidden" in rest:
+        for m in _ATTRIBUTE.finditer(rest):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in PART_ROLES:
+                return True, False
+            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                words = {w.lower() for w in _PARTS.split(value)}
+                if words & PARTS:
+                    return True, False
+                maybe |= bool(words & MAYBE_PARTS)
+    return False, maybe
+
+
+def _smoothed(x: list[float]) -> list[float]:
+    """Half of each value and a quarter of either neighbour's; the ends stand for what is beyond them."""
+    return [0.25 * x[max(i - 1, 0)] + 0.5 * v + 0.25 * x[min(i + 1, len(x) - 1)] for i, v in enumerate(x)]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds."""
+    p = Page(page or "")
     found = []
-    for path, raw, linked in blocks(page or ""):
+    for element, raw, linked in p.blocks:
         text = " ".join(_html.unescape(raw).split())
         if text:
-            found.append((path, text, min(linked, len(raw))))
+            found.append((element, text, min(linked, len(raw))))
+    # sums over elements: a child's go to its parent, which has a smaller number
+    n = len(p.parent)
+    length, links, count = [0] * n, [0] * n, [0] * n
+    for element, text, linked in found:
+        length[element] += len(text)
+        links[element] += linked
+        count[element] += 1
+    for k in range(n - 1, 0, -1):
+        up = p.parent[k]
+        length[up] += length[k]
+        links[up] += links[k]
+        count[up] += count[k]
+    gone = [False] * n
+    for k in range(1, n):
+        gone[k] = gone[p.parent[k]] or p.maybe[k] and (links[k] >= LINKED * length[k] or length[k] < SHORT * count[k])
+    found = [(e, t, l) for e, t, l in found if not gone[e]]
     if not found:
         return ""
-    length: dict[tuple, float] = {}
-    count: dict[tuple, int] = {}
-    for path, text, linked in found:
-        content = max(0.0, len(text) - 2.0 * linked) + 10.0 * len(_PUNCTUATION.findall(text)) * (linked * 2 < len(text))
-        length[path] = length.get(path, 0.0) + content
-        count[path] = count.get(path, 0) + 1
-    whole: dict[tuple, list] = {}
-    for path in length:
-        for d in range(len(path) + 1):
-            sums = whole.setdefault(path[:d], [0.0, 0])
-            sums[0] += length[path]
-            sums[1] += count[path]
-    everything = whole[()][0]
-    inner = max((p for p, (s, _) in whole.items() if s >= HOLDS * everything), key=len)
-    def score(path: tuple) -> float:
-        """The path's ratio, smoothed with that of its parent."""
-        own = length[path] / count[path]
-        up = whole[path[:-1]] if path else whole[()]
-        return 0.5 * own + 0.5 * up[0] / up[1]
-
-    best = max(score(p) for p in length)
-    passing = [p for p in length if p[: len(inner)] == inner or score(p) >= SIMILAR * best and length[p] > 0]
-    low, high = min(passing), max(passing)
-    shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    holder = _container(low[:shared])
-    return "\n".join(text for path, text, _ in found if path[: len(holder)] == holder)
+    # ratios of the tag paths, in the order in which they come on the page
+    sums: dict[int, list[float]] = {}
+    for element, text, linked in found:
+        own = sums.setdefault(p.path[element], [0.0, 0.0, 0.0])
+        own[0] += max(0, len(text) - 2 * linked)
+        own[1] += len(_PUNCTUATION.findall(text)) if 2 * linked < len(text) else 0
+        own[2] += 1
+    ratio = [_smoothed([s[k] / s[2] for s in sums.values()]) for k in (0, 1)]
+    score = {path: (t * (1 + u)) ** 0.5 * (sums[path][0] > 0) for path, t, u in zip(sums, *ratio)}
+    best = max(score.values())
+    content = [0] * n
+    for element, text, linked in found:
+        if score[p.path[element]] >= SIMILAR * best:
+            content[element] += max(1, len(text) - 2 * linked)
+    held = list(content)
+    for k in range(n - 1, 0, -1):
+        held[p.parent[k]] += held[k]
+    whole = [k for k in range(n) if p.tag[k] in ("article", "main") and held[k] >= HOLDS * held[0]]
+    if whole:
+        holder = whole[0] if not any(p.tag[k] == "article" for k in whole) else next(k for k in whole if p.tag[k] == "article")
+    else:
+        # the lowest element that holds all content; blocks short beside the typical one don't widen it
+        most = max(content)
+        least = held[0] - sum(c for c in content if 10 * c < most)
+        holder = max(k for k in range(n) if held[k] >= least)
+        while p.tag[holder] not in ("", "html", "body", "td", "div", "section"):
+            holder = p.parent[holder]
+    inside = [False] * n
+    for k in range(n):
+        inside[k] = k == holder or k > 0 and inside[p.parent[k]]
+    return "\n".join(text for element, text, _ in found if inside[element])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -227,6 +227,70 @@ def test_op5_article_in_several_containers():
     assert html.main_text(page).split("\n") == text
 
 
+def test_op5_odd_markup():
+    long = "A sentence of the article goes on, and on. " * 8
+    para = f"<p>{long}</p>"
+    # an article's own section is kept whatever its class; the same word on a list of links isn't
+    page = f"<article>{para}<section class='related-work'><h2>Related work</h2>{para}{para}</section><div class='related'><a href=a>One</a> <a href=b>Two</a></div><div class=comments>{para}</div></article>"
+    assert html.main_text(page).split("\n") == [long.strip(), "Related work", long.strip(), long.strip()]
+    assert html.main_text('<body><p class="x>Hello there, reader of all this.</p>') == "Hello there, reader of all this."
+    assert html.main_text("<p class='x>Hello, it goes on.") == "Hello, it goes on."
+    # an article whose paragraphs share their path with a long notice before it
+    page = f"<body><div><p>{long[:200]}</p></div><main><h1>Title</h1>{para * 4}</main>"
+    assert html.main_text(page).split("\n") == ["Title", *[long.strip()] * 4]
+
+
+def test_op5_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<p>Some text, at the bottom of it all.</p>" + "</div>" * n + "<b>" * n + "</i>" * n
+        began = time.perf_counter()
+        assert html.main_text(page) == "Some text, at the bottom of it all."
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(32_000) < 16 * max(seconds(4000), 0.01)
+
+
+def test_op5_equals_the_articles_of_all_pages(spark):
+    # an independent reading: the standard library's parser, blocks inside article
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self, page):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks = 0, [""]
+            self.feed(page)
+            self.close()
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag == "br":
+                self.handle_data(" ")
+            elif tag in html.BLOCK:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag in html.BLOCK:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth > 0:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "html").limit(600).collect()
+    differ = [r.page_id for r in pages if html.main_text(r.html) != "\n".join(filter(None, (" ".join(b.split()) for b in Article(r.html or "").blocks)))]
+    assert not differ, differ[:5]
+
+
+def test_op5_rows(spark):
+    rows = [(1, "u", "<p>One, two, three and more.</p>"), (1, "u", "<p>One, two, three and more.</p>"), (None, None, None), (2, "v", "<article><p>" + "word, " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    assert sorted(r.n_chars for r in html.extract_text(df).collect()) == [0, 25, 25, 1_199_999]
+
+
 def test_op5_table(spark):
     rows = html.extract_text(spark.read.parquet(f"{DATA}/pages.parquet")).collect()
     assert len(rows) == 250 and all(r.n_chars == len(r.text) and r.text and "©" not in r.text for r in rows)
