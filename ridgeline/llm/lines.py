@@ -1,10 +1,11 @@
 """Quality rules on lines first, then on what the lines leave of a document.
 
 A line fails when it looks like navigation (columns of separators, or arrows),
-like boilerplate (licence, cookie, copyright or sign-in wording), like broken
-punctuation (symbols or exclamation marks on most words) or when it is one word
-over and over. Lines fail on their own words only. Lines that fail go; a document
-is rejected when less than KEEP_SHARE of its words is left.
+like boilerplate (licence, cookie, copyright or sign-in wording in English,
+Spanish, French or German), like broken punctuation (a short line without terminal punctuation,
+or symbols or exclamation marks on most words) or when it is one word over and over.
+Lines fail on their own words only. Lines that fail go; a document is rejected when less
+than KEEP_SHARE of its words is left.
 
 Base counts are reported beside: see base_counts().
 
@@ -25,43 +26,52 @@ from .common import WORD_PATTERN, Words, chunks, gram_hashes, input_columns
 #: A document keeps at least this share of its words, or it is rejected.
 KEEP_SHARE = 0.5
 LEAST_WORDS = 50
+#: A shorter line needs terminal punctuation: longer ones may be wrapped in mid-sentence.
+WHOLE_LINE = 8
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 # Signs of navigation, endings and wording that mark a line; the SQL below uses the same patterns.
 NAVIGATION = r"^[|>»«›‹•·*#$%&<=/~-]+$"
 ODD_END = r"(!!+|[#*$%&][#*$%&]+)$"
+TERMINAL = r"[.!?:;…。！？][\x22')\]”’»]*[ \t\r]*$"
 BOILERPLATE = (
-    r"(licensed under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|copyright \(?c\)?|permission is hereby granted|"
-    r"without warrant(y|ies)|javascript (is|must)|sign in to|log in to|subscribe to our)"
+    r"((licensed|released|published|distributed) under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|copyright \(?c\)?|permission is hereby granted|"
+    r"without warrant(y|ies)|javascript (is|must)|sign in to|log in to|subscribe to our|"
+    r"todos los derechos reservados|bajo (la |una )?licencia|t[ée]rminos (de uso|del servicio)|pol[íi]tica de (privacidad|cookies)|inicia sesi[óo]n|suscr[íi]bete|"
+    r"tous droits r[ée]serv[ée]s|sous (la |une )?licence|conditions d.utilisation|politique de (confidentialit[ée]|cookies)|connectez-vous|abonnez-vous|"
+    r"alle rechte vorbehalten|unter (der|einer) [^.]*lizenz|nutzungsbedingungen|datenschutz(erkl[äa]rung|richtlinie)|melden sie sich an|abonnieren sie)"
 )
-_WORD, _NAVIGATION, _ODD_END = re.compile(WORD_PATTERN), re.compile(NAVIGATION), re.compile(ODD_END)
-_BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
+_WORD, _NAVIGATION, _ODD_END, _TERMINAL, _BOILERPLATE = map(re.compile, (WORD_PATTERN, NAVIGATION, ODD_END, TERMINAL, BOILERPLATE))
+_TO_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
-def line_fails(line: str) -> str | None:
-    """The rule that a line breaks, or None."""
+def judge_line(line: str) -> tuple[str | None, int]:
+    """The rule that a line breaks, or None, and its words."""
     words = _WORD.findall(line)
     n = len(words)
     if not n:
-        return None
+        return None, 0
     if n >= 3 and 3 * sum(1 for w in words if _NAVIGATION.match(w)) >= n:
-        return "navigation"
-    if n <= 40 and _BOILERPLATE.search(line):
-        return "boilerplate"
-    if n >= 3 and 2 * sum(1 for w in words if _ODD_END.search(w)) >= n:
-        return "punctuation"
+        return "navigation", n
+    if n <= 40 and _BOILERPLATE.search(line.translate(_TO_LOWER)):
+        return "boilerplate", n
+    if n < WHOLE_LINE and not _TERMINAL.search(line) or n >= 3 and 2 * sum(1 for w in words if _ODD_END.search(w)) >= n:
+        return "punctuation", n
     if n >= 8 and 4 * len(set(words)) <= n:
-        return "repetition"
-    return None
+        return "repetition", n
+    return None, n
+
+
+def line_fails(line: str) -> str | None:
+    return judge_line(line)[0]
 
 
 def clean_text(text: str | None) -> tuple[str, int, int]:
     """The text without failing lines, its words and the words of the whole text."""
     lines = (text or "").split("\n")
-    fine = [line_fails(x) is None for x in lines]
-    words = [len(_WORD.findall(x)) for x in lines]
-    return "\n".join(x for x, f in zip(lines, fine) if f), sum(n for n, f in zip(words, fine) if f), sum(words)
+    judged = [judge_line(x) for x in lines]
+    return "\n".join(x for x, (f, _) in zip(lines, judged) if f is None), sum(n for f, n in judged if f is None), sum(n for _, n in judged)
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -89,8 +99,8 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-def judge_lines(docs: DataFrame) -> DataFrame:
-    """Every document (doc_id, text) with its base counts, base_failed, clean_words, cleaned text and kept."""
+def judge_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """Every document (doc_id, text) with its base counts, base_failed, clean_words, cleaned text (if wanted) and kept."""
 
     def judge(batches):
         for b in batches:
@@ -103,13 +113,13 @@ def judge_lines(docs: DataFrame) -> DataFrame:
                 clean = np.array([c for _, c, _ in cleaned], dtype=np.int64)
                 words = np.array([n for _, _, n in cleaned], dtype=np.int64)
                 kept = ~failed & (clean >= KEEP_SHARE * words)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(b.schema.get_field_index("doc_id")).slice(first, 512), *[pa.array(v) for v in base.values()], pa.array(failed), pa.array(clean), pa.array([t for t, _, _ in cleaned], pa.string()), pa.array(kept)],
-                    names=["doc_id", *base, "base_failed", "clean_words", "clean_text", "kept"],
-                )
+                out = {"doc_id": b.column(b.schema.get_field_index("doc_id")).slice(first, 512), **{k: pa.array(v) for k, v in base.items()}, "base_failed": pa.array(failed), "clean_words": pa.array(clean), "kept": pa.array(kept)}
+                if with_text:
+                    out["clean_text"] = pa.array([t for t, _, _ in cleaned], pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, clean_words long, clean_text string, kept boolean"
-    return input_columns(docs, "doc_id", "text").mapInArrow(judge, schema)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, clean_words long, kept boolean"
+    return input_columns(docs, "doc_id", "text").mapInArrow(judge, schema + (", clean_text string" if with_text else ""))
 
 
 #: The same in DuckDB's SQL.
@@ -121,7 +131,8 @@ j AS (
   SELECT *, len(ws) AS n,
     row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AND len(ws) > 0 AS dup,
     (len(ws) >= 3 AND 3 * len(list_filter(ws, lambda w: regexp_matches(w, '{NAVIGATION}'))) >= len(ws))
-    OR (len(ws) <= 40 AND len(ws) > 0 AND regexp_matches(line, '{BOILERPLATE}', 'i'))
+    OR (len(ws) <= 40 AND len(ws) > 0 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BOILERPLATE}'))
+    OR (len(ws) BETWEEN 1 AND {WHOLE_LINE - 1} AND NOT regexp_matches(line, '{TERMINAL.replace("'", "''")}'))
     OR (len(ws) >= 3 AND 2 * len(list_filter(ws, lambda w: regexp_matches(w, '{ODD_END}'))) >= len(ws))
     OR (len(ws) >= 8 AND 4 * len(list_distinct(ws)) <= len(ws)) AS fails
   FROM lw),

@@ -27,7 +27,7 @@ from .common import WORD_PATTERN, input_columns, numbered, save
 
 #: A source takes at most this many copies of a document.
 MOST_REPEATS = 3
-#: Words that the dynamic program may have to fit at most.
+#: Words that the dynamic program may have to fit at most; what it gets is never more, see _closed.
 FIT_WORDS = 1 << 17
 BUCKET_ROWS = 1000
 
@@ -58,48 +58,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float = 1.0, mo
     return df.select("source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(free * F.col("w")).alias("target"))
 
 
-def fit(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that their words come to `budget` as nearly as possible, not over it.
+def _program(size: np.ndarray, left: np.ndarray, goal: int) -> np.ndarray:
+    """How many of `left` documents of each size to take so that their words come to `goal` as nearly as possible, not over it.
 
-    Sizes are positive and distinct. Proportional counts come first; the rest of
-    the budget below FIT_WORDS is closed by a bounded-knapsack program, whose
-    states are bits of an integer and whose items are powers of two of a count."""
-    size, count = size.astype(np.int64), count.astype(np.int64)
-    total = int((size * count).sum())
-    if budget >= total:
-        return count
-    take = (count * (budget / total)).astype(np.int64) if total else count * 0
-    rest = budget - int((size * take).sum())
-    while rest < 0:  # rounding of a large product
-        i = int(np.argmax(take * size))
-        take[i] -= 1
-        rest += int(size[i])
-    for i in np.argsort(-size, kind="stable"):
-        if rest <= FIT_WORDS // 2:
-            break
-        more = min(int(count[i] - take[i]), (rest - FIT_WORDS // 4) // int(size[i]))
-        if more > 0:
-            take[i] += more
-            rest -= more * int(size[i])
-    # one of each size goes back, so that the program has something to exchange
-    back = np.flatnonzero((take > 0) & (size <= FIT_WORDS // 8))
-    for i in back[np.argsort(size[back], kind="stable")][::-1][:16]:
-        if rest + int(size[i]) > FIT_WORDS:
-            continue
-        take[i] -= 1
-        rest += int(size[i])
-    goal = min(rest, FIT_WORDS * 4)
+    A bounded-knapsack dynamic program whose states are the bits of an integer and whose items are powers of two of a count."""
+    take = np.zeros(len(size), dtype=np.int64)
+    usable = [i for i in np.argsort(size, kind="stable").tolist() if size[i] <= goal and left[i] > 0]
+    if not usable:
+        return take
     mask, reach, steps = (1 << (goal + 1)) - 1, 1, []
-    for i in np.argsort(size, kind="stable"):
-        s, left, k = int(size[i]), int(count[i] - take[i]), 1
-        if s > goal:
-            break
-        left = min(left, goal // s)
-        while left > 0 and not reach >> goal & 1:
-            n = min(k, left)
+    for i in usable:
+        s, n, k = int(size[i]), 0, 1
+        rest = min(int(left[i]), goal // s)
+        while rest > 0 and not reach >> goal & 1:
+            n = min(k, rest)
             steps.append((i, n, reach))
             reach = (reach | reach << (n * s)) & mask
-            left -= n
+            rest -= n
             k *= 2
         if reach >> goal & 1:
             break
@@ -111,6 +86,72 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def _closed(size: np.ndarray, count: np.ndarray, take: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
+    """take with the remaining budget closed as far as the program can, and the words still missing.
+
+    The greatest sizes that fit go in first, down to half of FIT_WORDS, then without a
+    margin; after that the rest is within FIT_WORDS or nothing left over fits into it."""
+    take = take.copy()
+    for floor, margin in ((FIT_WORDS // 2, FIT_WORDS // 4), (FIT_WORDS, 0)):
+        for i in np.argsort(-size, kind="stable"):
+            if rest <= floor:
+                break
+            more = min(int(count[i] - take[i]), (rest - margin) // int(size[i]))
+            if more > 0:
+                take[i] += more
+                rest -= more * int(size[i])
+    # one of each of some sizes goes back, so that the program has something to exchange
+    back = np.flatnonzero((take > 0) & (size <= FIT_WORDS // 8))
+    for i in back[np.argsort(size[back], kind="stable")][::-1][:16]:
+        if rest + int(size[i]) <= FIT_WORDS:
+            take[i] -= 1
+            rest += int(size[i])
+    if rest <= FIT_WORDS:
+        more = _program(size, count - take, rest)
+        take += more
+        rest -= int((more * size).sum())
+    return take, rest
+
+
+def fit(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each size to take so that their words come to `budget` as nearly as possible, not over it.
+
+    Sizes are positive and distinct. A budget within FIT_WORDS goes to the bounded-knapsack
+    program as a whole and is met as nearly as any choice can. A greater one starts from
+    proportional counts, and the program closes the rest. If words are missing still, each
+    size that didn't fit is tried in the place of smaller documents."""
+    size, count = size.astype(np.int64), count.astype(np.int64)
+    total = int((size * count).sum())
+    if budget >= total:
+        return count
+    if budget <= FIT_WORDS:
+        return _program(size, count, budget)
+    take = (count * (budget / total)).astype(np.int64)
+    rest = budget - int((size * take).sum())
+    while rest < 0:  # rounding of a large product
+        i = int(np.argmax(take * size))
+        take[i] -= 1
+        rest += int(size[i])
+    best, gap = _closed(size, count, take, rest)
+    for i in np.argsort(size, kind="stable")[::-1]:
+        if not gap or size[i] <= FIT_WORDS // 8:
+            break
+        if best[i] < count[i] and size[i] <= budget:
+            # room for one more of this size by smaller documents, the greatest first
+            other, need = best.copy(), int(size[i]) - gap
+            for j in np.argsort(-size, kind="stable"):
+                if size[j] < size[i] and need > 0:
+                    n = min(int(other[j]), -(-need // int(size[j])))
+                    other[j] -= n
+                    need -= n * int(size[j])
+            if need <= 0:
+                other[i] += 1
+                other, left = _closed(size, count, other, -need)
+                if left < gap:
+                    best, gap = other, left
+    return best
+
+
 def _plan_source(rows: pd.DataFrame) -> pd.DataFrame:
     """Per (source, size): copies that all documents get, and how many documents get one more."""
     rows = rows.sort_values("size", kind="stable")

@@ -189,9 +189,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
     sig = F.col("sequence_id") + F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 24))
     signed = rows.where(F.col("kind") == _TAIL).select("doc_id", "start", "length", "doc_tokens", "ids", sig.alias("sig"))
     tasks = max(1, round((signed.agg(F.sum("length")).first()[0] or 0) / TASK_TOKENS))
-    cuts = sorted(set(signed.agg(F.percentile_approx("sig", [k / tasks for k in range(1, tasks)], 100 * tasks)).first()[0] or [])) if tasks > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("sig"))) if cuts else F.lit(0)
-    dealt = signed.withColumn("part", part.cast("int")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("sig", "doc_id", "start")
+    dealt = signed.repartitionByRange(tasks, "sig", "doc_id", "start").sortWithinPartitions("sig", "doc_id", "start")
 
     def build(batches):
         base, done, fill = (1 << 62) + (TaskContext.get().partitionId() << 34), 0, 0

@@ -17,7 +17,7 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = lines.judge_lines(table(spark, sf_dir, "documents"))
+    judged = lines.judge_lines(table(spark, sf_dir, "documents"), with_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_words", "kept")
 
 

@@ -23,6 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,50 +152,25 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-# --- ranges of ids ------------------------------------------------------------
-
-
-def id_ranges(docs: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 cut points of doc_id with about equally many rows between; reads that column alone."""
-    if parts < 2:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0]
-    return sorted(set(cuts or []))
-
-
-def by_ranges(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    """Adds `part`, the number of the range of doc_id, and deals rows to one partition per range."""
-    part = F.lit(0)
-    if cuts:
-        at = F.array(*[F.lit(c).cast("long") for c in cuts])
-        part = F.size(F.filter(at, lambda c: c < F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    return docs.withColumn("part", part.cast("int")).repartitionById(len(cuts) + 1, F.col("part"))
-
-
 # --- the store ------------------------------------------------------------
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str, parts: int, stripe_bytes: int = 16 << 20) -> None:
     """Write doc_id, text as token ids into an ORC store at path, in ascending doc_id order."""
     docs = input_columns(docs, "doc_id", "text")
-    dealt = by_ranges(docs, id_ranges(docs, parts)).sortWithinPartitions("doc_id", "text")
+    dealt = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches):
-        at: dict[int, int] = {}
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids_of, texts, parts_of = b.columns
-            for i, j, ids, off in encode_chunks(texts, vocabulary):
-                part = parts_of[i].as_py()
-                start = at.get(part, 0)
-                at[part] = start + int(off[-1])
+            for i, j, ids, off in encode_chunks(b.column(1), vocabulary):
                 yield pa.RecordBatch.from_arrays(
-                    [ids_of.slice(i, j - i), parts_of.slice(i, j - i), pa.array(start + off[:-1]), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))],
+                    [b.column(0).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(at + off[:-1]), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
+                at += int(off[-1])
 
-    schema = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
-    writer = dealt.mapInArrow(encode, schema).write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", 1000).option("orc.create.index", "true")
+    writer = dealt.mapInArrow(encode, STORE_SCHEMA).write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", 1000).option("orc.create.index", "true")
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "snappy").orc(path)
 
 
@@ -226,13 +202,19 @@ def digest(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of the table, as it is stored, that a range of a store stands for.
+RANGE_BYTES = 8 << 20
+
+
+def store_parts(docs: DataFrame) -> int:
+    """Ranges by the size that the plan's statistics give; where they know none, the session's partitions."""
+    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, -(-size // RANGE_BYTES)) if size < 1 << 50 else max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def token_store(docs: DataFrame, vocabulary: str, parts: int | None = None) -> DataFrame:
     """Write the store into the shared scratch folder and read it back."""
     spark = docs.sparkSession
     path = scratch_dir(spark, "tokens")
-    write_store(docs, path, vocabulary, parts or store_parts(spark))
+    write_store(docs, path, vocabulary, parts or store_parts(docs))
     return read_store(spark, path)

@@ -133,7 +133,11 @@ def test_op2(spark):
     assert rows[0].n_words == 0 and rows[0].base_failed and not rows[0].kept and rows[5].kept and rows[9].n_words == 30_000
     assert lines.line_fails("Home | About | Shop | Help") == "navigation" and lines.line_fails("All rights reserved.") == "boilerplate"
     assert lines.line_fails("THE!! AND!! OF!!") == "punctuation" and lines.line_fails("go " * 9) == "repetition" and lines.line_fails("A fine line.") is None
-    assert lines.clean_text("Good line here.\nx | y | z | w")[0] == "Good line here."
+    assert lines.clean_text("Good line here.\nx | y | z | w\nNo end to it")[0] == "Good line here."
+    for text in ("Released under the MIT License.", "Todos los derechos reservados.", "Tous droits réservés.", "Alle Rechte vorbehalten.", "Política de privacidad.", "Datenschutzerklärung."):
+        assert lines.line_fails(text) == "boilerplate", text
+    assert lines.line_fails('He said "yes." ') is None and lines.line_fails("An end without a mark") == "punctuation"
+    assert "clean_text" not in lines.judge_lines(odd_docs(spark), with_text=False).columns and len([r for r in lines.judge_lines(odd_docs(spark).unionByName(odd_docs(spark))).collect() if r.doc_id == 5]) == 4
     assert lines.judge_lines(empty_docs(spark)).count() == 0
 
 
@@ -343,6 +347,25 @@ def test_encoder_equals_the_library():
         assert ids[off[k] : off[k + 1]].tolist() == c.tokenizer.encode(t or "", add_special_tokens=False).ids + [0], t
 
 
+def test_op7_store_has_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    tokens.write_store(docs, path, tokens.vocabulary_path(), 2, 64 << 10)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stripes = 0
+    for f in sorted(tmp_path.glob("store/*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        stripes += reader.getStripes().size()
+        assert reader.getRowIndexStride() == 1000
+        footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+        kinds = {footer.getStreams(k).getKind().toString() for k in range(footer.getStreamsCount())}
+        assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+        assert any(footer.getColumns(k).getKind().toString() == "DIRECT_V2" for k in range(footer.getColumnsCount()))
+    assert stripes >= 2
+    one = tokens.read_store(spark, path).where("doc_id = 777")
+    assert len(one.collect()) == 1 and "EqualTo(doc_id,777)" in one._jdf.queryExecution().toString()
+
+
 def _ids(docs):
     t = tokens.coder(tokens.vocabulary_path()).tokenizer
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in docs]
@@ -440,6 +463,56 @@ def test_op9_scores_all_terms_and_asks_for_each_seed():
     assert [[k for k, _, _ in r] for r in rows] == [[0, 1, 3], [2]]
 
 
+def test_op9_neighbours_equal_plain_bm25():
+    r = np.random.default_rng(5)
+    tails = [r.integers(0, 60, int(n)) for n in r.integers(5, 40, 50)]
+    counts, documents, mean = np.zeros(60, dtype=np.int64), 500, np.mean([len(t) for t in tails])
+    for t in tails:
+        counts[np.unique(t)] += 1
+    shard = packing.Shard(tails, counts, documents)
+    for seed in (0, 7, 33):
+        scores = {}
+        for k, t in enumerate(tails):
+            if k != seed:
+                tf = {x: int((t == x).sum()) for x in set(tails[seed].tolist()) if (t == x).any()}
+                scores[k] = sum(np.log1p((documents - counts[x] + 0.5) / (counts[x] + 0.5)) * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(t) / mean)) for x, f in tf.items())
+        unused = np.ones(50, dtype=bool)
+        unused[seed] = False
+        got = shard.neighbours(seed, unused).tolist()
+        assert sorted(got) == sorted(k for k, v in scores.items() if v > 0) and np.allclose([scores[k] for k in got], sorted((v for v in scores.values() if v > 0), reverse=True))
+
+
+def test_op9_ties_go_by_position():
+    same = np.arange(50)
+    shard = packing.Shard([same, same, same, same], np.full(100, 4), 10)
+    assert shard.neighbours(1, np.array([True, False, True, True])).tolist() == [0, 2, 3]
+
+
+def test_op10_fit_equals_brute_force():
+    r = random.Random(6)
+    for _ in range(200):
+        size = np.array(sorted(r.sample(range(1, 60), r.randrange(1, 7))))
+        count = np.array([r.randrange(1, 4) for _ in size])
+        reach = {0}
+        for s, n in zip(size.tolist(), count.tolist()):
+            reach = {x + k * s for x in reach for k in range(n + 1)}
+        budget = r.randrange(0, int((size * count).sum()) + 3)
+        took = mixing.fit(size, count, budget)
+        assert (took >= 0).all() and (took <= count).all() and int((took * size).sum()) == max(x for x in reach if x <= budget)
+    # one long document among short ones, above the program's range
+    size, count = np.array([100, 600_000]), np.array([200, 1])
+    assert int((mixing.fit(size, count, 610_000) * size).sum()) == 610_000
+    many = np.array([7, 1000, 50_000, 250_000, 900_000])
+    assert int((mixing.fit(many, np.array([9, 9, 9, 9, 9]), 3_333_333) * many).sum()) == 66 * 50_000 + 9 * 1007  # nothing comes nearer
+
+
+def test_op10_null_and_empty_rows(spark):
+    rows = [(None, None, None), (None, None, None), (1, "", "a"), (2, "one two", "a"), (2, "one two", "a"), (3, "x " * 50, None)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 6 and sum(r.size for r in got if r.source == "a") == 4 and {r.source_size for r in got if r.source is None} == {50}
+    assert all(0 <= r.copies <= 3 for r in got)
+
+
 def test_op10(spark):
     rows = queries.op10_budget_mix(spark, DATA).collect()
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()}
