@@ -33,6 +33,8 @@ WINDOW = 1024
 #: Tokens of a shard's tails, and of a task's, about.
 SHARD_TOKENS, TASK_TOKENS = 1_000_000, 4_000_000
 K1, B = 1.2, 0.75
+#: Neighbours of a seed that are ranked at once; when they are used up it is asked again.
+MOST = 64
 _PIECE, _TAIL, _COUNT = 0, 1, 2
 _PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
@@ -124,16 +126,18 @@ class Shard:
         for i, x in enumerate(common.tolist()):
             self.matrix[i, self.owner[self.at[x] : self.at[x + 1]]] = self.weight[self.at[x] : self.at[x + 1]]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused tails that share a term with the seed, best first; ties by position."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused tails that share a term with the seed, best first, about `most` of them at least; ties by position."""
         t = self.terms[seed]
         row = self.row[t]
-        has = np.zeros(len(self.matrix))
-        has[row[row >= 0]] = 1
-        score = has @ self.matrix
-        for x in t[row < 0].tolist():
-            score[self.owner[self.at[x] : self.at[x + 1]]] += self.weight[self.at[x] : self.at[x + 1]]
+        rare = t[row < 0]
+        begin = self.at[rare]
+        n = self.at[rare + 1] - begin
+        post = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score = np.bincount(self.owner[post], weights=self.weight[post], minlength=len(self.ids)) + self.matrix[row[row >= 0]].sum(axis=0)
         who = np.flatnonzero(unused & (score > 0))
+        if most and len(who) > most:
+            who = who[score[who] >= np.partition(score[who], len(who) - most)[len(who) - most]]
         return who[np.argsort(-score[who], kind="stable")]
 
 
@@ -143,9 +147,11 @@ def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window
     unused = np.ones(len(ids), dtype=bool)
     rest: tuple[int, int] | None = None
     cursor, room = 0, room or window
+    asked, more = -1, False
     while True:
         row: list[tuple[int, int, int]] = []
         queue: list[int] = []
+        more = False
         while room:
             seed = not queue
             if rest:
@@ -154,8 +160,11 @@ def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window
             else:
                 while queue and not unused[queue[-1]]:
                     queue.pop()
+                if not queue and more:  # the seed has more neighbours than were asked for
+                    queue = shard.neighbours(asked, unused, MOST)[::-1].tolist()
+                    more = len(queue) >= MOST
                 if queue:
-                    k = queue.pop()
+                    k, seed = queue.pop(), False
                 else:
                     seed = True
                     while cursor < len(ids) and not unused[cursor]:
@@ -170,7 +179,8 @@ def pack_shard(ids: list[np.ndarray], counts: np.ndarray, documents: int, window
             if b < len(ids[k]):
                 rest = (k, b)
             if room and seed:
-                queue = shard.neighbours(k, unused)[::-1].tolist()
+                asked, queue = k, shard.neighbours(k, unused, MOST)[::-1].tolist()
+                more = len(queue) >= MOST
         if row:
             yield row
         if room:

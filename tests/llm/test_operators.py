@@ -482,6 +482,15 @@ def test_op9_neighbours_equal_plain_bm25():
         assert sorted(got) == sorted(k for k, v in scores.items() if v > 0) and np.allclose([scores[k] for k in got], sorted((v for v in scores.values() if v > 0), reverse=True))
 
 
+def test_op9_asks_again_for_more(monkeypatch):
+    r = np.random.default_rng(8)
+    tails = [r.integers(0, 40, int(n)) for n in r.integers(1, 12, 120)]
+    whole = list(packing.pack_shard(tails, np.full(40, 30), 500, 200))
+    for most in (1, 2, 7):
+        monkeypatch.setattr(packing, "MOST", most)
+        assert list(packing.pack_shard(tails, np.full(40, 30), 500, 200)) == whole
+
+
 def test_op9_ties_go_by_position():
     same = np.arange(50)
     shard = packing.Shard([same, same, same, same], np.full(100, 4), 10)
