@@ -362,5 +362,6 @@ def keep_one_each(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     keyed = numbered(docs, "dedup-rows")
     rows = save(_judged(keyed.select("row.doc_id", "row.text", "key"), num, den, "dedup", "key").where("root is not null"), "dedup-judged")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first"))
-    gone = rows.join(first, "root").where(F.col("key") != F.col("first.key")).select("key")
+    # a table of its own, so that the join can split a very large group
+    gone = rows.join(save(first, "dedup-first"), "root").where(F.col("key") != F.col("first.key")).select("key")
     return keyed.join(gone, "key", "left_anti").select("row.*")

@@ -68,8 +68,7 @@ def test_op1_equals_brute_force(spark, docs):
     assert got == brute.near_duplicates(docs)
 
 
-@pytest.mark.parametrize("spread", [30, 150])
-@pytest.mark.parametrize("block", [(1 << 19, 2048), (1200, 8)])
+@pytest.mark.parametrize("spread, block", [(30, (1 << 19, 2048)), (150, (1200, 8))])
 def test_op1_open_regions_lose_no_link(spark, monkeypatch, spread, block):
     # a chain of texts in which only neighbours are linked, in one block and in many
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block[0])
