@@ -203,7 +203,7 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 #: Bytes of the table, as it is stored, that a range of a store stands for.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 
 
 def store_parts(docs: DataFrame) -> int:
