@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Samples of a piece of a series.
+CHUNK = 1 << 16
+
 
 def ladder(n: int, min_block: int = 8, max_blocks: int = 40) -> list[int]:
     """Block sizes: each is the last one times 1.5, down to whole numbers, up to a quarter of the series."""
@@ -15,24 +20,86 @@ def ladder(n: int, min_block: int = 8, max_blocks: int = 40) -> list[int]:
     return out
 
 
-def _ladders(lengths: DataFrame, min_block: int, max_blocks: int) -> DataFrame:
-    """(series, n, bs): the sizes that fit each series, out of one list for the longest."""
-    longest = lengths.agg(F.max("n")).first()[0] or 0
-    sizes = ladder(longest, min_block, max_blocks)
-    if not sizes:
-        return lengths.select("series", "n", F.lit(0).cast("long").alias("bs")).where("false")
-    return lengths.select("series", "n", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("bs")).where("bs * 4 <= n")
+def _pieces(at: np.ndarray, x: np.ndarray, n: int, begin: int, chunk: int, min_block: int, max_blocks: int):
+    """(bs, blocks, whole, count, total, squares, low, high, rs) for each size, over the blocks that samples from `begin` on lie in.
+
+    rs is that of the blocks that lie in the chunk as a whole."""
+    end = min(n, begin + chunk)
+    for bs in ladder(n, min_block, max_blocks):
+        first, last = begin // bs, min((end - 1) // bs, n // bs - 1)
+        blocks = np.arange(first, last + 1)
+        edge = np.searchsorted(at, np.arange(first, last + 2) * bs)
+        some = np.diff(edge) > 0
+        if not some.any():
+            continue
+        blocks, count, part = blocks[some], np.diff(edge)[some], x[edge[0] : edge[-1]]
+        start = edge[:-1][some] - edge[0]
+        total = np.add.reduceat(part, start)
+        mean = total / count
+        # a block with a value that isn't finite must not reach the sums of others
+        fine = np.isfinite(mean)
+        d = np.where(np.repeat(fine, count), part - np.repeat(mean, count), 0.0)
+        squares = np.where(fine, np.add.reduceat(d * d, start), np.nan)
+        low, high = np.minimum.reduceat(part, start), np.maximum.reduceat(part, start)
+        y = np.cumsum(d)
+        y -= np.repeat(np.append(0.0, y)[start], count)
+        reach = np.maximum.reduceat(y, start) - np.minimum.reduceat(y, start)
+        rs = np.where(fine, reach / np.sqrt(squares / (count - 1)), np.nan)
+        whole = (blocks * bs >= begin) & ((blocks + 1) * bs <= begin + chunk)
+        yield np.full(len(blocks), bs), blocks, whole, count, total, squares, low, high, np.where(whole, rs, np.nan)
 
 
-def rescaled_ranges(signals: DataFrame, min_block: int = 8, max_blocks: int = 40) -> DataFrame:
-    """series, bs, block, rs of every whole block; rs is null where the block is constant."""
+def rescaled_ranges(signals: DataFrame, min_block: int = 8, max_blocks: int = 40, chunk: int = CHUNK) -> DataFrame:
+    """series, bs, block, rs of every whole block with values; rs is null where the block is constant.
+
+    A series is cut into pieces of `chunk` samples. Blocks inside a piece are done
+    there; of others each piece gives its sums, which tell the block's mean and the
+    running sum that the piece begins with, and in a second pass the extremes of the
+    running sum come from the pieces by aggregation. No task holds more than a piece."""
     lengths = signals.groupBy("series").agg(F.count("*").alias("n"))
-    rows = signals.join(_ladders(lengths, min_block, max_blocks), "series").withColumn("block", F.expr("pos div bs")).where("block < n div bs")
+    rows = signals.where("x is not null").join(lengths, "series").select("series", "n", F.floor(F.col("pos") / F.lit(chunk)).alias("chunk"), "pos", F.col("x").cast("double").alias("x"))
+
+    def in_order(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        at, x = t.column("pos").to_numpy(), t.column("x").to_numpy()
+        order = np.argsort(at, kind="stable")
+        return at[order], x[order]
+
+    def measure(key, t):
+        at, x = in_order(t)
+        with np.errstate(all="ignore"):
+            found = list(_pieces(at, x, t.column("n")[0].as_py(), key[1].as_py() * chunk, chunk, min_block, max_blocks))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 9
+        same = columns[6] == columns[7]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 5]
+        own = [pa.repeat(k, len(same)) for k in key]
+        arrays = [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns[:-1], types)]
+        return pa.Table.from_arrays([*own, *arrays, pa.array(columns[8], pa.float64(), mask=same | (columns[3] < 2))], names=["series", "chunk", "bs", "block", "whole", "n", "total", "squares", "low", "high", "rs"])
+
+    schema = "series string, chunk long, bs long, block long, whole boolean, n long, total double, squares double, low double, high double, rs double"
+    pieces = rows.groupBy("series", "chunk").applyInArrow(measure, schema)
+    # blocks over several pieces: their mean and deviation, and the running sum before each piece
     block = Window.partitionBy("series", "bs", "block")
-    rows = rows.withColumn("d", F.col("x") - F.avg("x").over(block))
-    rows = rows.withColumn("y", F.sum("d").over(block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    rs = F.try_divide(F.max("y") - F.min("y"), F.nullif(F.stddev_samp("x"), F.lit(0.0)))
-    return rows.groupBy("series", "bs", "block").agg(rs.alias("rs"))
+    before = block.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = pieces.where("not whole").withColumn("mean", F.sum("total").over(block) / F.sum("n").over(block))
+    parts = parts.withColumn("carry", F.coalesce(F.sum(F.col("total") - F.col("n") * F.col("mean")).over(before), F.lit(0.0)))
+    squares = F.sum(F.col("squares") + F.col("n") * F.pow(F.col("total") / F.col("n") - F.col("mean"), F.lit(2))).over(block)
+    deviation = F.when(F.max("high").over(block) > F.min("low").over(block), F.sqrt(F.try_divide(squares, F.sum("n").over(block) - 1)))
+    parts = parts.select("series", "chunk", "bs", "block", "mean", "carry", deviation.alias("dev"))
+
+    def extremes(key, left, right):
+        at, x = in_order(left)
+        out = []
+        for p in right.select(["bs", "block", "mean", "carry", "dev"]).to_pylist() if len(at) else []:
+            i, j = np.searchsorted(at, [p["block"] * p["bs"], (p["block"] + 1) * p["bs"]])
+            y = p["carry"] + np.cumsum(x[i:j] - p["mean"])
+            out.append((key[0].as_py(), p["bs"], p["block"], y.min(), y.max(), p["dev"]))
+        types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 3]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["series", "bs", "block", "low", "high", "dev"])
+
+    long = rows.where(F.col("n") > chunk).groupBy("series", "chunk")
+    ends = long.cogroup(parts.groupBy("series", "chunk")).applyInArrow(extremes, "series string, bs long, block long, low double, high double, dev double")
+    crossing = ends.groupBy("series", "bs", "block").agg(F.try_divide(F.max("high") - F.min("low"), F.nullif(F.max("dev"), F.lit(0.0))).alias("rs"))
+    return pieces.where("whole").select("series", "bs", "block", "rs").unionByName(crossing)
 
 
 def ranges_by_size(signals: DataFrame, min_block: int = 8, max_blocks: int = 40) -> DataFrame:

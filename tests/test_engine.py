@@ -265,12 +265,37 @@ def test_cascade_masses(spark):
     assert abs(signals.cascade_measure(spark, 100, [1 / 3, 1 / 3, 1 / 3], [0.5, 0.0, 0.5]).agg(F.sum("x")).first()[0] - 1) < 1e-12
 
 
+def test_rescaled_ranges_over_pieces(spark):
+    x = np.random.default_rng(3).normal(size=5000).cumsum()
+    x[100:140] = 0.1
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", i, None if i % 7 == 3 else float("nan") if i == 50 else float(i % 11)) for i in range(400)] + [("c", 0, 1.0)]
+    signals = spark.createDataFrame(rows, "series string, pos long, x double")
+
+    def ranges(chunk):
+        return {(r.series, r.bs, r.block): r.rs for r in hurst.rescaled_ranges(signals, chunk=chunk).collect()}
+
+    expected = {}
+    for name in "ab":
+        own = [v for s, _, v in rows if s == name]
+        for bs in hurst.ladder(len(own)):
+            for b in range(len(own) // bs):
+                v = np.array([k for k in own[b * bs : (b + 1) * bs] if k is not None])
+                y = np.cumsum(v - v.mean())
+                expected[name, bs, b] = None if v.min() == v.max() else (y.max() - y.min()) / v.std(ddof=1)
+    for chunk in (64, 700, 1 << 16):
+        got = ranges(chunk)
+        assert got.keys() == expected.keys()
+        for k, v in expected.items():
+            assert (got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, rel=1e-9, nan_ok=True)), (chunk, k)
+
+
 def test_hurst(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal(2048)
     row = hurst.hurst_rs(series(spark, x)).first()
     assert 0.4 < row.hurst < 0.75 and row.se < 0.1
     assert hurst.hurst_rs(series(spark, [1.0] * 100)).first().hurst is None
+    assert hurst.rescaled_ranges(series(spark, [0.1] * 100), chunk=30).where("rs is not null").count() == 0
     assert hurst.ladder(16384) == [8, 12, 18, 27, 40, 60, 90, 135, 202, 303, 454, 681, 1021, 1531, 2296, 3444]
 
 
