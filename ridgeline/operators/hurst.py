@@ -20,20 +20,26 @@ def ladder(n: int, min_block: int = 8, max_blocks: int = 40) -> list[int]:
     return out
 
 
-def _pieces(at: np.ndarray, x: np.ndarray, n: int, begin: int, chunk: int, min_block: int, max_blocks: int):
-    """(bs, blocks, whole, count, total, squares, low, high, rs) for each size, over the blocks that samples from `begin` on lie in.
-
-    rs is that of the blocks that lie in the chunk as a whole."""
-    end = min(n, begin + chunk)
-    for bs in ladder(n, min_block, max_blocks):
-        first, last = begin // bs, min((end - 1) // bs, n // bs - 1)
-        blocks = np.arange(first, last + 1)
-        edge = np.searchsorted(at, np.arange(first, last + 2) * bs)
-        some = np.diff(edge) > 0
-        if not some.any():
+def _groups(t: pa.Table) -> np.ndarray:
+    """Numbers of the runs of equal (series, chunk)."""
+    name = t.column("series").combine_chunks().dictionary_encode()
+    name = (name.combine_chunks() if isinstance(name, pa.ChunkedArray) else name).indices.to_numpy()
+    piece = t.column("chunk").to_numpy()
+    return np.cumsum(np.concatenate([[False], (name[1:] != name[:-1]) | (piece[1:] != piece[:-1])]))
+
+
+def _pieces(group: np.ndarray, n: np.ndarray, begin: np.ndarray, at: np.ndarray, x: np.ndarray, chunk: int, min_block: int, max_blocks: int):
+    """(group, bs, block, whole, count, total, squares, low, high, rs) for each size; the others have one value a sample, in order.
+
+    A group is a chunk of a series of n samples that begins at `begin`; rs is that of the blocks that lie in their chunk as a whole."""
+    for bs in ladder(int(n.max()), min_block, max_blocks):
+        block = at // bs
+        use = (4 * bs <= n) & (block < n // bs)
+        if not use.any():
             continue
-        blocks, count, part = blocks[some], np.diff(edge)[some], x[edge[0] : edge[-1]]
-        start = edge[:-1][some] - edge[0]
+        g, own, part, base = group[use], block[use], x[use], begin[use]
+        start = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (own[1:] != own[:-1])]))
+        count = np.diff(np.append(start, len(g)))
         total = np.add.reduceat(part, start)
         mean = total / count
         # a block with a value that isn't finite must not reach the sums of others
@@ -45,8 +51,9 @@ def _pieces(at: np.ndarray, x: np.ndarray, n: int, begin: int, chunk: int, min_b
         y -= np.repeat(np.append(0.0, y)[start], count)
         reach = np.maximum.reduceat(y, start) - np.minimum.reduceat(y, start)
         rs = np.where(fine, reach / np.sqrt(squares / (count - 1)), np.nan)
-        whole = (blocks * bs >= begin) & ((blocks + 1) * bs <= begin + chunk)
-        yield np.full(len(blocks), bs), blocks, whole, count, total, squares, low, high, np.where(whole, rs, np.nan)
+        own, base = own[start], base[start]
+        whole = (own * bs >= base) & ((own + 1) * bs <= base + chunk)
+        yield g[start], np.full(len(own), bs), own, whole, count, total, squares, low, high, rs
 
 
 def rescaled_ranges(signals: DataFrame, min_block: int = 8, max_blocks: int = 40, chunk: int = CHUNK) -> DataFrame:
@@ -59,24 +66,36 @@ def rescaled_ranges(signals: DataFrame, min_block: int = 8, max_blocks: int = 40
     lengths = signals.groupBy("series").agg(F.count("*").alias("n"))
     rows = signals.where("x is not null").join(lengths, "series").select("series", "n", F.floor(F.col("pos") / F.lit(chunk)).alias("chunk"), "pos", F.col("x").cast("double").alias("x"))
 
-    def in_order(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        at, x = t.column("pos").to_numpy(), t.column("x").to_numpy()
-        order = np.argsort(at, kind="stable")
-        return at[order], x[order]
-
-    def measure(key, t):
-        at, x = in_order(t)
+    def measure(batches):
+        """Whole groups of the sorted rows; the last one of a batch waits for the next batch."""
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+            group = _groups(held)
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield from digest(held.slice(0, cut), group[:cut])
+                held = held.slice(cut)
+        if held is not None:
+            yield from digest(held, _groups(held))
+
+    def digest(t, group):
+        n, piece, at, x = (t.column(k).to_numpy() for k in ("n", "chunk", "pos", "x"))
         with np.errstate(all="ignore"):
-            found = list(_pieces(at, x, t.column("n")[0].as_py(), key[1].as_py() * chunk, chunk, min_block, max_blocks))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 9
-        same = columns[6] == columns[7]
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 5]
-        own = [pa.repeat(k, len(same)) for k in key]
-        arrays = [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns[:-1], types)]
-        return pa.Table.from_arrays([*own, *arrays, pa.array(columns[8], pa.float64(), mask=same | (columns[3] < 2))], names=["series", "chunk", "bs", "block", "whole", "n", "total", "squares", "low", "high", "rs"])
+            found = list(_pieces(group, n, piece * chunk, at, x, chunk, min_block, max_blocks))
+        if not found:
+            return
+        columns = [np.concatenate(c) for c in zip(*found)]
+        names = t.column("series").take(pa.array(np.searchsorted(group, columns[0])))
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 4]
+        arrays = [pa.array(c, k) for c, k in zip(columns[1:], types)]
+        rs = pa.array(columns[9], pa.float64(), mask=(columns[7] == columns[8]) | (columns[4] < 2))
+        yield from pa.Table.from_arrays([names, pa.array(piece[np.searchsorted(group, columns[0])]), *arrays, rs], names=["series", "chunk", "bs", "block", "whole", "n", "total", "squares", "low", "high", "rs"]).to_batches()
 
     schema = "series string, chunk long, bs long, block long, whole boolean, n long, total double, squares double, low double, high double, rs double"
-    pieces = rows.groupBy("series", "chunk").applyInArrow(measure, schema)
+    pieces = rows.repartition("series", "chunk").sortWithinPartitions("series", "chunk", "pos").mapInArrow(measure, schema)
     # blocks over several pieces: their mean and deviation, and the running sum before each piece
     block = Window.partitionBy("series", "bs", "block")
     before = block.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,8 +106,9 @@ def rescaled_ranges(signals: DataFrame, min_block: int = 8, max_blocks: int = 40
     parts = parts.select("series", "chunk", "bs", "block", "mean", "carry", deviation.alias("dev"))
 
     def extremes(key, left, right):
-        at, x = in_order(left)
-        out = []
+        at, x = left.column("pos").to_numpy(), left.column("x").to_numpy()
+        order, out = np.argsort(at, kind="stable"), []
+        at, x = at[order], x[order]
         for p in right.select(["bs", "block", "mean", "carry", "dev"]).to_pylist() if len(at) else []:
             i, j = np.searchsorted(at, [p["block"] * p["bs"], (p["block"] + 1) * p["bs"]])
             y = p["carry"] + np.cumsum(x[i:j] - p["mean"])
