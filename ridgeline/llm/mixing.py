@@ -7,7 +7,8 @@ closes the gap. Which documents of a size are taken follows a seeded hash.
 
 Only counts by (source, size) meet in one task, never documents. Groups of one
 size are cut into hash buckets of about BUCKET_ROWS documents: whole buckets
-are taken below the bucket that holds the cut, and only that one is ranked.
+are taken below the bucket that holds the cut, and only that one is ranked. The
+hash takes in the text too, so rows that share a doc_id, or have none, fall into many buckets.
 
 Defined results: null text has size 0; documents of size 0 take 0 words; a
 source (null is a source of its own) with size 0 has target 0; an empty table
@@ -168,7 +169,7 @@ def mix_sources(docs: DataFrame, weights: Iterable[float] = (1.0, 2.0, 3.0), sha
     """doc_id, source, size, source_size, target, copies, and the column `row` if given, for every row of docs (doc_id, text, source)."""
     keys = ["doc_id", row] if row else ["doc_id"]
     rows = input_columns(docs, *keys, "source", "text")
-    rows = save(rows.select(*keys, "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), *keys).alias("lot")), "mix-sizes")
+    rows = save(rows.select(*keys, "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), *keys, *([] if row else ["text"])).alias("lot")), "mix-sizes")
     counts = save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(per_source, tuple(weights), share)

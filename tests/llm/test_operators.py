@@ -521,6 +521,19 @@ def test_op10_null_and_empty_rows(spark):
     assert all(0 <= r.copies <= 3 for r in got)
 
 
+def test_op10_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rows = [(None, f"w{i} x y", "a") for i in range(300)] + [(7, f"v{i} x y", "a") for i in range(300)] + [(i, f"u{i} x y", "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    taken = {s: sum(r.copies * r.size for r in got if r.source == s) for s in "ab"}
+    assert len(got) == 1200 and taken == {"a": 1200, "b": 2400}
+    # 400 of 600 rows of "a": not all of those without an id, nor all of doc_id 7
+    for doc in (None, 7):
+        assert 150 < sum(r.copies for r in got if r.source == "a" and r.doc_id == doc) < 250
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
+
+
 def test_op10(spark):
     rows = queries.op10_budget_mix(spark, DATA).collect()
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()}
