@@ -32,6 +32,8 @@ from .common import chunks, input_columns, scratch_dir, text_buffers
 END_ID = 0
 #: Bytes of running text encoded in one call.
 SLICE_BYTES = 128 << 10
+#: Bytes of units whose ids a process keeps from one call to the next; beyond it starts anew.
+KNOWN_BYTES = 16 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 _SPACE = r"\s\v\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -61,6 +63,7 @@ class Coder:
             self.width[i] = len(piece)  # one character of the vocabulary stands for one byte
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
+        self.known, self.known_ids, self.known_at = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.comma, self.stop = (int(self.whole([x])[0][0]) for x in ",.")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -76,6 +79,20 @@ class Coder:
         ids = np.concatenate([self.whole([data[off[x] : off[y]].tobytes().decode()])[0] for x, y in zip(cuts, cuts[1:])])
         return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.width[ids]), off[1:], side="left") + 1])
 
+    def _known_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, end): the places of each distinct unit's ids; units that an earlier call met are not encoded again."""
+        if self.known.nbytes > KNOWN_BYTES:
+            self.known, self.known_ids, self.known_at = self.known[:0], self.known_ids[:0], self.known_at[:1]
+        units = units.cast(pa.large_string())
+        new = units.filter(pc.invert(pc.is_in(units, value_set=self.known)))
+        if len(new):
+            ids, at = self._unit_ids(new)
+            self.known_at = np.concatenate([self.known_at, self.known_at[-1] + at[1:]])
+            self.known_ids = np.concatenate([self.known_ids, ids])
+            self.known = pa.concat_arrays([self.known, new])
+        place = pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False)
+        return self.known_ids, self.known_at[place], self.known_at[place + 1]
+
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and the n + 1 offsets. A last comma or full stop after a letter is a unit of its own."""
         n = len(pieces)
@@ -85,13 +102,13 @@ class Coder:
         comma = pc.ends_with(pieces, ",").to_numpy(zero_copy_only=False)
         base = pc.if_else(closed, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
         closed = closed.to_numpy(zero_copy_only=False)
-        table, at = self._unit_ids(base.dictionary)
+        table, begin, end = self._known_ids(base.dictionary)
         unit = base.indices.to_numpy(zero_copy_only=False)
-        size = np.diff(at)[unit]
+        size = (end - begin)[unit]
         total = np.concatenate([[0], np.cumsum(size + closed)])
         ids = np.empty(total[-1], dtype=np.int32)
         body = np.cumsum(size) - size
-        ids[np.repeat(total[:-1] - body, size) + np.arange(size.sum())] = table[np.repeat(at[unit] - body, size) + np.arange(size.sum())]
+        ids[np.repeat(total[:-1] - body, size) + np.arange(size.sum())] = table[np.repeat(begin[unit] - body, size) + np.arange(size.sum())]
         ids[total[1:][closed] - 1] = np.where(comma[closed], self.comma, self.stop)
         return ids, total
 
