@@ -7,14 +7,16 @@ k-th best exact score of a query over all blocks is a safe cutoff t. Phase 2 sen
 every block, which opens its lists one after another: an entry stays in as long as its
 known partials, with the most that the lists not yet opened can add (by Cauchy and
 Schwarz the product of the norms), reach t. A block whose greatest norms can't
-reach t for a query is not opened for it. Phase 3 resolves the remaining lists of
-the few entries left exactly and ranks them. Once fewer than a quarter of a block's
-entries are in, lists are evaluated for those alone.
+reach t for a query is not opened for it. Phase 3 resolves the few entries left
+exactly and ranks them. While many entries are in, lists are opened for all of a block's
+entries at once, as many as the block before needed; then for those left alone. Bounds are
+floats and lower the cutoff by all that rounding can amount to; scores are integers.
 
 Candidates and queries are dealt to blocks by a hash of vec_id, so rows of one id are in
-one block; each pair of blocks is one row of an equi-join on the block's number, so
-no task holds more than a pair and nothing is broadcast. What is shuffled is the
-queries once per block of candidates. Per query and block at most k entries leave a task.
+one block. A group of candidate blocks is held by one task, which takes the queries' blocks
+one by one behind it, and raises t by what it finds; nothing is broadcast. What is shuffled
+is the candidates once and the queries once per group, in the narrowest integers that
+hold them; a group has at most GROUP blocks and GROUP_COMPONENTS components.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without vec_id; missing trailing components
@@ -33,10 +35,17 @@ from .common import arrow_groups, input_columns, save
 
 LISTS = 8
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
-#: Queries scored at once within a pair of blocks.
-ROWS_AT_ONCE = 256
+#: Components of a block; wide vectors make blocks of fewer rows.
+BLOCK_COMPONENTS = 1 << 20
+#: Most blocks and components of a group of candidates, which one task holds; small tables are cut into GROUPS groups at least.
+GROUP, GROUP_COMPONENTS, GROUPS = 64, 1 << 24, 48
+#: Rows of queries scored at once, at most.
+ROWS_AT_ONCE = 512
 #: Share of the entries still in from which on a list is evaluated for all of them.
-DENSE = 0.25
+DENSE = 0.02
+#: Columns of which phase 1 looks at the best one alone.
+TILE = 64
+_NONE = -(1 << 62)
 
 
 def scaled(vectors: DataFrame, factor: int = 256) -> DataFrame:
@@ -47,72 +56,111 @@ def scaled(vectors: DataFrame, factor: int = 256) -> DataFrame:
     return rows.where(F.coalesce(usable, F.lit(False))).select("vec_id", x.alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """(block, width, ids, values): blocks of about `size` vectors each, as binaries of int64, and their number."""
-    count = max(1, -(-rows.count() // size))
+def _blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
+    """(block, width, bytes, ids, values): the vectors in `count` blocks, as binaries of int64 and of integers of so many bytes."""
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("long").alias("block")).repartition("block").sortWithinPartitions("block", "vec_id")
 
     def build(batches):
         for (block,), t in arrow_groups(batches, ["block"]):
             ids, vectors = t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
             off = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
-            sizes = np.diff(off)
-            m = np.zeros((len(ids), int(sizes.max())), dtype="<i8")
-            m[np.repeat(np.arange(len(ids)), sizes), np.arange(off[-1]) - np.repeat(off[:-1], sizes)] = vectors.flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([m.shape[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "width", "ids", "values"])
+            sizes, flat = np.diff(off), vectors.flatten().to_numpy()
+            kind = next(d for d in ("<i2", "<i4", "<i8") if np.iinfo(d).min <= flat.min() and flat.max() <= np.iinfo(d).max)
+            m = np.zeros((len(ids), int(sizes.max())), dtype=kind)
+            m[np.repeat(np.arange(len(ids)), sizes), np.arange(off[-1]) - np.repeat(off[:-1], sizes)] = flat
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([m.shape[1]], pa.int32()), pa.array([m.itemsize], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "width", "bytes", "ids", "values"])
 
-    return save(dealt.mapInArrow(build, "block long, width int, ids binary, values binary"), name), count
+    return save(dealt.mapInArrow(build, "block long, width int, bytes int, ids binary, values binary"), name)
 
 
-def _matrix(width: int, ids: bytes, values: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, dtype="<i8")
-    m = np.frombuffer(values, dtype="<i8").reshape(len(i), width)
-    return i, np.pad(m, ((0, 0), (0, max(0, least - width))))
+class Block:
+    """Vectors in the order of their ids and their norms from each list on."""
 
+    def __init__(self, m: np.ndarray, ids: np.ndarray, edges: np.ndarray):
+        self.m, self.ids, self.edges = m, ids, edges
+        self.rest = np.sqrt([(m[:, x:].astype(np.float64) ** 2).sum(axis=1) for x in edges]) * (1 + 1e-9) + 1e-6
+        self._wide: tuple = ()
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in exact integers; floats carry it where no sum can pass 2**53."""
-    if not a.shape[1]:
-        return np.zeros((len(a), len(b)), dtype=np.int64)
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    def rows(self, x: int, y: int) -> Block:
+        """A part of the block, sharing what is known of it."""
+        part = object.__new__(Block)
+        part.m, part.ids, part.edges, part.rest, part._wide = self.m[x:y], self.ids[x:y], self.edges, self.rest[:, x:y], ()
+        return part
 
+    def opened(self, lists: int, kind: type) -> np.ndarray:
+        """The first lists and, last, the norm of what is left."""
+        if not self._wide or self._wide[0] != (lists, kind):
+            self._wide = (lists, kind), np.hstack([self.m[:, : self.edges[lists]].astype(kind), self.rest[lists][:, None].astype(kind)])
+        return self._wide[1]
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Marks, per row, every entry not below the row's k-th best."""
-    if score.shape[1] <= k:
-        return np.ones(score.shape, dtype=bool)
-    return score >= np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
 
-
-def survivors(q: np.ndarray, c: np.ndarray, limits: np.ndarray, other: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(rows, columns, exact scores) of the entries that reach their row's limit, and how many entries had all their lists opened."""
-    norm = lambda m, x: np.sqrt((m[:, x:].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6
-    open_rows = np.flatnonzero(norm(q, 0) * norm(c, 0).max(initial=0) >= limits)
-    known = np.zeros((len(open_rows), len(c)), dtype=np.int64)
-    alive = other[open_rows]
-    rows = cols = None
-    for x, y in zip(edges, edges[1:]):
-        if rows is None:
-            known += _product(q[open_rows, x:y], c[:, x:y])
-            most = np.multiply.outer(norm(q[open_rows], y), norm(c, y))
-            alive &= known + most >= limits[open_rows, None]
-            if alive.mean() < DENSE or y == edges[-1]:
-                rows, cols = np.nonzero(alive)
-                score = known[rows, cols]
-                rows = open_rows[rows]
-        else:
-            score = score + _exact(q[:, x:y], c[:, x:y], rows, cols)
-            fine = score + norm(q, y)[rows] * norm(c, y)[cols] >= limits[rows]
-            rows, cols, score = rows[fine], cols[fine], score[fine]
-    if rows is None:
-        return (np.zeros(0, np.int64),) * 3 + (0,)
-    return rows, cols, score, len(rows)
+def _kind(q: Block, c: Block) -> tuple[type, float]:
+    """Floats for bounds of q's and c's products, and more than rounding can change them by."""
+    most = float(q.rest[0].max(initial=0)) * float(c.rest[0].max(initial=0))
+    kind = np.float32 if most < 2.0**24 else np.float64
+    return kind, (q.m.shape[1] + 16) * float(np.finfo(kind).eps) * most
 
 
 def _exact(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.einsum("ij,ij->i", q[rows[s : s + 65536]], c[cols[s : s + 65536]]) for s in range(0, len(rows), 65536)] or [np.zeros(0, np.int64)])
+    return np.concatenate([np.einsum("ij,ij->i", q[rows[s : s + 65536]].astype(np.int64), c[cols[s : s + 65536]].astype(np.int64)) for s in range(0, len(rows), 65536)] or [np.zeros(0, np.int64)])
+
+
+def _first_list(q: Block, c: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best entries by the first list, looked for among the best of every TILE columns; entries of a query's own id are left out."""
+    kind, _ = _kind(q, c)
+    first = q.opened(1, kind)[:, :-1] @ c.opened(1, kind)[:, :-1].T
+    begin, end = np.searchsorted(c.ids, q.ids, "left"), np.searchsorted(c.ids, q.ids, "right")
+    for r in np.flatnonzero(begin < end):
+        first[r, begin[r] : end[r]] = -np.inf
+    n, tile = first.shape[1], max(1, min(TILE, first.shape[1] // (4 * k)))
+    cut = np.full((len(first), -(-n // tile) * tile), -np.inf, kind) if n % tile else first
+    cut[:, :n] = first
+    cut = cut.reshape(len(first), tile, -1)  # a tile's columns lie apart, so that maxima are taken over whole rows
+    best = cut.max(axis=1)
+    tiles = np.argpartition(best, -k, axis=1)[:, -k:] if best.shape[1] > k else np.broadcast_to(np.arange(best.shape[1]), best.shape)
+    rows = np.repeat(np.arange(len(first)), tiles.shape[1])
+    found = cut[rows, :, tiles.ravel()]
+    cols = found.argmax(axis=1) * best.shape[1] + tiles.ravel()
+    fine = found.max(axis=1) > -np.inf
+    return rows[fine], cols[fine]
+
+
+def _reach(q: Block, c: Block, limits: np.ndarray, other: np.ndarray | None, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """As survivors; opens `lists` lists at once to begin with, and returns how many to begin with next time."""
+    none = np.zeros(0, np.int64)
+    limits = limits.astype(np.float64)
+    rows = np.flatnonzero(q.rest[0] * c.rest[0].max(initial=0) >= limits)
+    if not len(rows) or not len(c.ids):
+        return none, none, none, 0, lists
+    (kind, slack), own, last = _kind(q, c), rows, len(q.edges) - 1
+    limits = limits - slack - np.abs(limits) * 1e-6 - 1
+    while True:
+        wide = q.opened(lists, kind)
+        bound = (wide if len(own) == len(wide) else wide[own]) @ c.opened(lists, kind).T
+        alive = bound >= limits[own, None].astype(kind)
+        if other is not None:
+            alive &= other[own]
+        share = np.count_nonzero(alive) / alive.size
+        if share < DENSE or lists == last:
+            break
+        lists += 1
+    # the place of each entry in one row is found faster than two coordinates
+    at = np.flatnonzero(alive)
+    rows, cols = own[at // len(c.ids)], at % len(c.ids)
+    bound = bound.ravel()[at].astype(np.float64)
+    for j in range(lists, last):
+        x, y = q.edges[j : j + 2]
+        bound += _exact(q.m[:, x:y], c.m[:, x:y], rows, cols) - q.rest[j][rows] * c.rest[j][cols] + q.rest[j + 1][rows] * c.rest[j + 1][cols]
+        fine = bound >= limits[rows]
+        rows, cols, bound = rows[fine], cols[fine], bound[fine]
+    return rows, cols, _exact(q.m, c.m, rows, cols), len(rows), lists - (lists > 1 and share < DENSE / 8)
+
+
+def survivors(q: np.ndarray, c: np.ndarray, limits: np.ndarray, other: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(rows, columns, exact scores) of the entries that reach their row's limit, and how many entries had all their lists opened."""
+    rows, cols, score, opened, _ = _reach(Block(q, np.arange(len(q)), edges), Block(c, np.arange(len(c)), edges), limits, other, 1)
+    fine = score >= limits[rows]
+    return rows[fine], cols[fine], score[fine], opened
 
 
 def _top(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -126,33 +174,60 @@ def _top(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nda
     return order[np.arange(len(order)) - begin < k]
 
 
-def _score_pairs(pairs: DataFrame, k: int, cutoff: bool) -> DataFrame:
-    """Entries (query_id, vec_id, score) of each pair of blocks: phase 1, or phases 2 and 3 with the cutoffs."""
+def _score(rows: DataFrame, width: int, k: int, cutoff: bool) -> DataFrame:
+    """Entries (query_id, vec_id, score) of each group of candidate blocks with all queries behind it: phase 1, or phases 2 and 3 with the cutoffs."""
+    edges = np.linspace(0, width, LISTS + 1).astype(int)
 
     def build(batches):
+        held: list[Block] = []
+        group, lists = None, 1
+
+        def score(q: Block, limits: np.ndarray):
+            nonlocal lists
+            number = np.unique(q.ids, return_inverse=True)[1]  # rows of one vec_id are one query
+            found = [np.zeros(0, np.int64)] * 3
+            for c in held:
+                if not cutoff:
+                    rows, cols = _first_list(q, c, k)
+                    points = _exact(q.m, c.m, rows, cols)
+                else:
+                    rows, cols, points, _, lists = _reach(q, c, limits, None, lists)
+                    fine = (points >= limits[rows]) & (q.ids[rows] != c.ids[cols])
+                    rows, cols, points = rows[fine], cols[fine], points[fine]
+                if not len(rows):
+                    continue
+                found = [np.concatenate(x) for x in zip(found, (number[rows], c.ids[cols], points))]
+                keep = _top(*found, k)
+                found = [x[keep] for x in found]
+                if cutoff:
+                    full = np.flatnonzero(np.bincount(found[0], minlength=number.max() + 1) == k)
+                    raised = np.full(number.max() + 1, _NONE)
+                    raised[full] = found[2][np.searchsorted(found[0], full, "right") - 1]
+                    limits = np.maximum(limits, raised[number])
+            ids = np.unique(q.ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "vec_id", "score"])
+
         for b in batches:
             col = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
             for at in range(b.num_rows):
                 get = lambda n: col[n][at].as_py()
-                least = max(get("width"), get("q_width"))
-                ids, c = _matrix(get("width"), get("ids"), get("values"), least)
-                q_ids, q = _matrix(get("q_width"), get("q_ids"), get("q_values"), least)
-                limits = np.frombuffer(get("limits"), dtype="<i8") if cutoff else None
-                edges = np.linspace(0, least, LISTS + 1).astype(int)
-                for s in range(0, len(q_ids), ROWS_AT_ONCE):
-                    own, own_ids = q[s : s + ROWS_AT_ONCE], q_ids[s : s + ROWS_AT_ONCE]
-                    other = own_ids[:, None] != ids[None, :]
-                    if limits is None:
-                        first = _product(own[:, : edges[1]], c[:, : edges[1]])
-                        rows, cols = np.nonzero(_best(np.where(other, first, np.iinfo(np.int64).min), k) & other)
-                        score = _exact(own, c, rows, cols)
-                    else:
-                        rows, cols, score, _ = survivors(own, c, limits[s : s + ROWS_AT_ONCE], other, edges)
-                    # rows of one vec_id are one query: numbered by their ids
-                    keep = _top(own_ids[rows], ids[cols], score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own_ids[rows[keep]]), pa.array(ids[cols[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(build, "query_id long, vec_id long, score long")
+                if get("group") != group:
+                    group = get("group")
+                    held.clear()
+                ids = np.frombuffer(get("ids"), dtype="<i8")
+                m = np.frombuffer(get("values"), dtype=f"<i{get('bytes')}").reshape(len(ids), get("width"))
+                block = Block(np.pad(m, ((0, 0), (0, width - m.shape[1]))), ids, edges)
+                if get("kind") == 0:
+                    held.append(block)
+                    continue
+                limits = np.frombuffer(get("limits"), dtype="<i8") if cutoff else np.full(len(ids), _NONE)
+                # rows of one id are scored together
+                firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                cuts = [*firsts[::ROWS_AT_ONCE], len(ids)]
+                for x, y in zip(cuts, cuts[1:]):
+                    yield score(block.rows(x, y), limits[x:y])
+
+    return rows.mapInArrow(build, "query_id long, vec_id long, score long")
 
 
 def _with_limits(queries: DataFrame, limits: DataFrame) -> DataFrame:
@@ -166,7 +241,7 @@ def _with_limits(queries: DataFrame, limits: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(np.arange(len(i))), pa.array(i)], names=["block", "at", "query_id"])
 
     rows = ids.mapInArrow(unpack, "block long, at long, query_id long").join(limits, "query_id", "left")
-    per_block = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("t", F.lit(-(1 << 62))).alias("t")))).alias("ts"))
+    per_block = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("t", F.lit(_NONE)).alias("t")))).alias("ts"))
 
     def pack(batches):
         for b in batches:
@@ -179,19 +254,29 @@ def _with_limits(queries: DataFrame, limits: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, the rows whose vec_id is divisible by `every`."""
     rows = scaled(vectors)
-    candidates, count = _blocks(rows, CANDIDATE_BLOCK, "topk-candidates")
-    queries, _ = _blocks(rows.where(F.pmod("vec_id", F.lit(every)) == 0), QUERY_BLOCK, "topk-queries")
-
-    def pairs(queries: DataFrame) -> DataFrame:
-        """The queries, block by block, beside every block of candidates."""
-        q = queries.select([F.col(n).alias(f"q_{n}" if n in ("width", "ids", "values") else n) for n in queries.columns if n != "block"])
-        return q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(candidates, "block")
+    of_query = F.pmod("vec_id", F.lit(every)) == 0
+    n, n_queries, width = rows.agg(F.count("*"), F.count_if(of_query), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    most = max(1, BLOCK_COMPONENTS // width)
+    blocks = lambda n, size: max(1, -(-n // min(size, most)))
+    count = blocks(n, CANDIDATE_BLOCK)
+    candidates = _blocks(rows, count, "topk-candidates")
+    queries = _blocks(rows.where(of_query), blocks(n_queries, QUERY_BLOCK), "topk-queries")
+    per_group = max(1, min(GROUP, GROUP_COMPONENTS // (width * min(CANDIDATE_BLOCK, most)), count // GROUPS))
+    groups = -(-count // per_group)
+
+    def scored(queries: DataFrame, cutoff: bool) -> DataFrame:
+        """Entries of the groups of candidates, each with the queries' blocks behind it."""
+        limits = F.col("limits") if cutoff else F.lit(None).cast("binary")
+        common = ["block", "width", "bytes", "ids", "values"]
+        c = candidates.select(F.floor(F.col("block") / per_group).alias("group"), F.lit(0).alias("kind"), *common, F.lit(None).cast("binary").alias("limits"))
+        q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(1).alias("kind"), *common, limits.alias("limits"))
+        return _score(c.unionByName(q).repartition(groups, "group").sortWithinPartitions("group", "kind", "block"), width, k, cutoff)
 
     def ranked(found: DataFrame) -> DataFrame:
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
-    first = ranked(_score_pairs(pairs(queries), k, False))
+    first = ranked(scored(queries, False))
     limits = save(first.where(F.col("rank") == k).select("query_id", F.col("score").alias("t")), "topk-limits")
-    found = _score_pairs(pairs(save(_with_limits(queries, limits), "topk-limited")), k, True)
+    found = scored(save(_with_limits(queries, limits), "topk-limited"), True)
     return ranked(found).select("query_id", "rank", "vec_id", "score")

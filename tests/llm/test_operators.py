@@ -201,6 +201,35 @@ def test_op4_prunes(spark):
     assert sorted(zip(rows[best].tolist(), cols[best].tolist())) == [(i, int(j)) for i, j in want] and (found == score[rows, cols]).all()
 
 
+def test_op4_groups_hold_candidates_once(spark, monkeypatch):
+    """Queries are dealt to groups of candidates, not to each of their blocks, in narrow integers; also wide, repeated and very large vectors."""
+    rng = np.random.default_rng(4)
+    m = rng.integers(-40, 40, (1500, 6)) / 256
+    m[300:900] = m[7]  # one vector very often
+    m[:, 0] *= np.where(np.arange(1500) % 400 == 0, 1e7, 1)
+    rows = [(int(i) // 2 * 2, x[: 3 + i % 4].tolist()) for i, x in enumerate(m)]
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 32)
+    monkeypatch.setattr(topk, "GROUPS", 3)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "ROWS_AT_ONCE", 3)
+    taken, score = [], topk._score
+    monkeypatch.setattr(topk, "_score", lambda rows, *a: taken.append(rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("values")).alias("b")).collect()) or score(rows, *a))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, 50, 5).collect()))
+    fine = [(i, np.pad(np.floor(256 * np.array(v)).astype(np.int64), (0, 6 - len(v)))) for i, v in rows]
+    want = []
+    for q in {i for i, _ in fine if i % 50 == 0}:
+        best = {}
+        for i, v in fine:
+            if i != q:
+                best[i] = max([best.get(i, -(1 << 62)), *(int(v @ x) for j, x in fine if j == q)])
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5])]
+    assert got == sorted(want)
+    for rows in taken:
+        n = {r.kind: r.n for r in rows}
+        assert n[0] == 47 and n[1] <= 8 * 4  # 47 blocks once; the 4 or so blocks of queries for at most 8 groups
+
+
 def test_op5_pages():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=x>Menu one</a></ul></nav>
     <div class="cookie-notice">We use cookies, please accept them all.</div><form><label>Name</label><input></form>
