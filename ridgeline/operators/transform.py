@@ -4,8 +4,9 @@ Four plans give the same coefficients. "chunks", the default, cuts a series into
 pieces of CHUNK samples with as many neighbouring (or mirrored) samples on both
 sides as the widest filter needs, by overlap-save: no task holds a series, and
 a piece is transformed at all scales where it is. "arrow" has one task row per series and
-scale, "arrays" uses higher-order functions on packed series, and "join" joins taps on the
-folded index, summed in the JVM; these three are for comparison.
+scale, "arrays" uses higher-order functions on packed series, and "join" joins every sample
+with every tap, piece by piece, and sums in the JVM, where the joined rows stay within
+their task; these three are for comparison.
 
 A series shorter than a scale's filter has null coefficients at that scale, or is an
 error with short="raise"."""
@@ -24,6 +25,8 @@ from ..functions.wavelets import wavelet
 PRESETS = {"direct": ("convolve", "reflect"), "overlap_save": ("correlate", "edge_mirror")}
 #: Samples of a piece of a series.
 CHUNK = 1 << 16
+#: Samples of a piece in the plan "join", unless the filters are wider, and coefficients that one of its tasks sums up.
+JOIN_CHUNK, JOIN_SUMS = 1 << 13, 1 << 20
 COEFFICIENTS = "series string, si int, a double, pos long, w double, firstp long, lastp long"
 
 
@@ -98,17 +101,7 @@ def cwt(signals: DataFrame, a_min: float, n_oct: int, n_voice: int, name: str =
         return _arrays(signals, scales, name, expo, orientation, border)
     if plan != "join":
         raise ValueError(f"unknown plan {plan!r}")
-    spark = signals.sparkSession
-    sized = signals.join(signals.groupBy("series").agg(F.count("*").alias("n")), "series")
-    m = F.col("k") if orientation == "convolve" else -F.col("k")
-    taps = filters(spark, scales, name).groupBy("si").agg(F.max("k").alias("s"), F.collect_list(F.struct("k", "psi")).alias("t"))
-    targets = sized.select("series", "pos", "n").join(F.broadcast(taps)).select("series", "pos", "n", "si", "s", F.explode("t").alias("t")).select("*", "t.k", "t.psi")
-    j = F.col("pos") - m
-    right = 2 * F.col("n") - (2 if border == "reflect" else 1) - j
-    at = F.when(j < 0, -j).when(j >= F.col("n"), right).otherwise(j)
-    w = targets.withColumn("at", at).join(signals.select("series", F.col("pos").alias("at"), "x"), ["series", "at"]).groupBy("series", "si", "pos").agg(F.sum(F.col("x") * F.col("psi")).alias("w"), F.first("n").alias("n"), F.first("s").alias("s"))
-    a = F.element_at(F.array(*[F.lit(x) for x in scales]), F.col("si") + 1)
-    return w.select("series", "si", a.alias("a"), "pos", (F.pow(a, F.lit(expo)) * F.col("w")).alias("w"), F.col("s").cast("long").alias("firstp"), (F.col("n") - 1 - F.col("s")).cast("long").alias("lastp"))
+    return _join(signals, scales, name, expo, orientation, border, short)
 
 
 def _too_short(a: float, s: int, n: int, short: str) -> bool:
@@ -119,11 +112,9 @@ def _too_short(a: float, s: int, n: int, short: str) -> bool:
     return True
 
 
-def _chunks(signals, scales, name, expo, orientation, border, short) -> DataFrame:
-    """Overlap-save over pieces of CHUNK samples."""
-    wave = wavelet(name)
-    half = [wave.half_width(a) for a in scales]
-    halo, size = max(half), F.lit(CHUNK)
+def _pieces(signals: DataFrame, halo: int, border: str, samples: int) -> DataFrame:
+    """series, chunk, at, x, n: pieces of so many samples, with what filters that reach `halo` samples need on both sides."""
+    size = F.lit(samples)
     lengths = signals.groupBy("series").agg(F.count("*").alias("n"))
     rows = signals.select("series", "pos", "x").join(lengths, "series")
     # a sample stands at its own place and, near an end, at its mirror images; each is needed by the pieces within reach
@@ -133,7 +124,32 @@ def _chunks(signals, scales, name, expo, orientation, border, short) -> DataFram
     rows = rows.select("series", "n", "x", F.explode(places).alias("at"))
     first = F.greatest(F.lit(0), F.floor((F.col("at") - halo) / size))
     last = F.least(F.floor((F.col("n") - 1) / size), F.floor((F.col("at") + halo) / size))
-    rows = rows.where(first <= last).select("series", F.explode(F.sequence(first, last)).alias("chunk"), "at", "x", "n")
+    return rows.where(first <= last).select("series", F.explode(F.sequence(first, last)).alias("chunk"), "at", "x", "n")
+
+
+def _join(signals, scales, name, expo, orientation, border, short) -> DataFrame:
+    """Samples joined with taps; the sums need nothing outside a piece, so only the samples are shuffled."""
+    half = [wavelet(name).half_width(a) for a in scales]
+    size = max(JOIN_CHUNK, *half)
+    parts = -(-signals.count() * len(scales) // JOIN_SUMS)
+    rows = _pieces(signals, max(half), border, size).repartition(max(1, parts), "series", "chunk")
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("si") + 1)
+    taps = filters(signals.sparkSession, scales, name).select("si", (F.col("k") if orientation == "convolve" else -F.col("k")).alias("m"), "psi")
+    pos = F.col("at") + F.col("m")
+    inside = (pos >= F.col("chunk") * size) & (pos < F.least(F.col("n"), (F.col("chunk") + 1) * size))
+    joined = rows.join(F.broadcast(taps), inside).select("series", "chunk", "si", pos.alias("pos"), "n", (F.col("x") * F.col("psi")).alias("y"))
+    sums = joined.groupBy("series", "chunk", "si", "pos").agg(F.sum("y").alias("w"), F.first("n").alias("n")).withColumn("s", at(half).cast("long"))
+    message = F.concat(F.lit("filter of "), 2 * F.col("s") + 1, F.lit(" samples, series of "), "n")
+    lacking = F.raise_error(message).cast("double") if short == "raise" else F.lit(None).cast("double")
+    w = F.when(2 * F.col("s") + 1 > F.col("n"), lacking).otherwise(F.pow(at(scales), F.lit(expo)) * F.col("w"))
+    return sums.select("series", "si", at(scales).alias("a"), "pos", w.alias("w"), F.col("s").alias("firstp"), (F.col("n") - 1 - F.col("s")).alias("lastp"))
+
+
+def _chunks(signals, scales, name, expo, orientation, border, short) -> DataFrame:
+    """Overlap-save over pieces of CHUNK samples."""
+    wave = wavelet(name)
+    half = [wave.half_width(a) for a in scales]
+    rows = _pieces(signals, max(half), border, CHUNK)
     rows = rows.repartition("series", "chunk").sortWithinPartitions("series", "chunk", "at")
 
     def transform(series, chunk, n, at, x):

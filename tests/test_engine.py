@@ -75,6 +75,24 @@ def test_short_series_are_null_or_an_error(spark):
             transform.cwt(df, 1.0, 1, 1, "g2", plan=plan, short="raise").collect()
 
 
+@pytest.mark.parametrize("preset", ["direct", "overlap_save"])
+def test_join_plan_keeps_joined_rows_in_their_task(spark, monkeypatch, preset):
+    # pieces end within reach of both ends; short series are null at wide scales
+    monkeypatch.setattr(transform, "JOIN_CHUNK", 64)
+    monkeypatch.setattr(transform, "JOIN_SUMS", 500)
+    r = np.random.default_rng(5)
+    rows = [(name, i, float(v)) for name, n in (("a", 300), ("b", 129), ("c", 40), ("d", 1)) for i, v in enumerate(r.standard_normal(n))]
+    df = spark.createDataFrame(rows, "series string, pos long, x double")
+    plan = transform.cwt(df, 1.0, 1, 3, "g2", preset=preset, plan="join")
+    one, other = (x.orderBy("series", "si", "pos").toPandas() for x in (plan, transform.cwt(df, 1.0, 1, 3, "g2", preset=preset, plan="arrow")))
+    assert len(one) == len(other) == 3 * 470 and np.allclose(one["w"], other["w"], atol=1e-9, equal_nan=True)
+    assert one[["series", "si", "pos", "firstp", "lastp"]].equals(other[["series", "si", "pos", "firstp", "lastp"]])
+    tree = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in tree[: tree.index("Join")].replace("BroadcastExchange", "")  # nothing is shuffled once samples meet taps
+    with pytest.raises(Exception, match="filter of"):
+        transform.cwt(df, 1.0, 1, 3, "g2", preset=preset, plan="join", short="raise").collect()
+
+
 def test_series_without_maxima_stay(spark):
     kept = spark.createDataFrame([("a", s, 0, 0.0, 1.0, 0, None, None, 0) for s in range(3)] + [("b", 0, 0, 0.0, 1.0, 0, None, None, 0)], ridges.LINKED)
     everyone = spark.createDataFrame([("a",), ("b",), ("c",)], "series string")
