@@ -48,6 +48,8 @@ ROWS_AT_ONCE = 512
 DENSE = 0.02
 #: Columns of which phase 1 looks at the best one alone.
 TILE = 64
+#: Entries of phase 1 that are ranked at once.
+MERGED = 1 << 15
 _NONE = -(1 << 62)
 
 
@@ -205,6 +207,8 @@ def _score(rows: DataFrame, width: int, k: int, cutoff: bool) -> DataFrame:
                 if not len(rows):
                     continue
                 found = [np.concatenate(x) for x in zip(found, c.named(rows, cols, points))]
+                if not cutoff and len(found[0]) < MERGED and c is not held[-1]:
+                    continue
                 keep = _top(*found, k)
                 found = [x[keep] for x in found]
                 if cutoff:
